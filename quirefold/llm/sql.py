@@ -63,4 +63,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLES = {"op5_quality_rules": OP5, "op10_mix_sources": OP10}
+OP4 = rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS p, ls[i] AS x, len(regexp_extract_all(ls[i], '{WORD}')) AS w, CAST('0x' || substr(md5(ls[i]), 1, 15) AS BIGINT) AS h
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE regexp_matches(ls[i], '{WORD}')),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM l),
+pair AS (SELECT 1 AS dir UNION ALL SELECT -1),
+g AS (SELECT a.doc_id, a.r AS r0, dir, b.r AS r1, abs(b.r - a.r) AS k, sum(b.w) OVER w AS total, b.h AS h, lag(b.h) OVER w AS hp
+      FROM n a CROSS JOIN pair JOIN n b ON a.doc_id = b.doc_id AND ((dir = 1 AND b.r BETWEEN a.r AND a.r + 7) OR (dir = -1 AND b.r BETWEEN a.r - 7 AND a.r))
+      WINDOW w AS (PARTITION BY a.doc_id, a.r, dir ORDER BY abs(b.r - a.r))),
+c AS (SELECT doc_id, least(r0, r1) AS f, greatest(r0, r1) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, r0, dir ORDER BY k) AS o FROM g
+      WHERE total >= 40 OR k = 7 OR (k > 0 AND total >= 20 AND xor(xor(hp, hp >> 7), h) % 4 = 0)) WHERE o = 1),
+u AS (SELECT DISTINCT doc_id, f, t FROM c),
+b AS (SELECT u.doc_id, u.f, u.t, string_agg(n.x, chr(10) ORDER BY n.r) AS x FROM u JOIN n ON n.doc_id = u.doc_id AND n.r BETWEEN u.f AND u.t GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, f) AS o FROM b),
+gone AS (SELECT DISTINCT n.doc_id, n.p FROM o JOIN n ON n.doc_id = o.doc_id AND n.r BETWEEN o.f AND o.t WHERE o.o > 1),
+gl AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+nl AS (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(nl.n, 0) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(ps, i - 1)), lambda i: ls[i]), chr(10)) END AS text
+FROM d LEFT JOIN gl USING (doc_id) LEFT JOIN nl USING (doc_id)
+"""
+
+ORACLES = {
+    "op4_line_dedup": OP4, "op5_quality_rules": OP5, "op10_mix_sources": OP10}
