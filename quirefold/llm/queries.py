@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import common as C
-from quirefold.llm import decontam, linededup, mixing, neardup, rules
+from quirefold.llm import decontam, linededup, mixing, neardup, rules, tokencount
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rated(C.table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """path: the vocabulary file of the tokenizer, found beside the public tokenizers' module if not given."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return tokencount.counted(C.table(spark, sf_dir, "documents").select("doc_id", "text"), str(path))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = mixing.plan_mix(C.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return of.select(F.col("_doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
@@ -38,5 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
 }
