@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import common as C
-from quirefold.llm import decontam, linededup, mixing, neardup, rules, tokencount
+from quirefold.llm import chat, decontam, linededup, mixing, neardup, rules, tokencount
+
+
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +34,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rated(C.table(spark, sf_dir, "documents"))
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def op8_chat_format(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """path: the vocabulary file of the tokenizer, found beside the public tokenizers' module if not given."""
-    if path is None:
-        import public_tokenizers
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    convs = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digests(chat.formatted(convs, path or _tokenizer_file("byte_bpe_50k.json")))
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    return tokencount.counted(C.table(spark, sf_dir, "documents").select("doc_id", "text"), str(path))
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """path: the vocabulary file of the tokenizer, found beside the public tokenizers' module if not given."""
+    return tokencount.counted(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path or _tokenizer_file("word_bpe_49k.json"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
 }
