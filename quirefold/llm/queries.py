@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import common as C
-from quirefold.llm import chat, decontam, linededup, mixing, neardup, rules, tokencount
+from quirefold.llm import chat, decontam, htmltext, linededup, mixing, neardup, rules, tokencount
 
 
 def _tokenizer_file(name: str) -> str:
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rated(C.table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(C.table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """path: the vocabulary file of the tokenizer, found beside the public tokenizers' module if not given."""
     said = r"\### Assistant: </turn> ok"
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
