@@ -6,6 +6,8 @@ is made. Texts are worked on in slices of bounded size, cut at white space, whol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,8 +43,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _slice(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of b; breaks are places where a word ends though no white space stands there."""
+def _slice(b: np.ndarray, breaks: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash, start and end of each word of b, and the hash of its first bytes, so many as in heads; breaks are places where a word ends though no white space stands there."""
     n = len(b)
     ws = _WS[b]
     word = ~ws
@@ -59,7 +61,8 @@ def _slice(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     up, down = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER[b] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), starts, ends
+    of = lambda z: mix((total[z] - total[starts]) * down[starts])
+    return of(ends), starts, ends, *[of(np.minimum(starts + k, ends)) for k in heads]
 
 
 def arrow_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +92,24 @@ def hashed_words(data: np.ndarray, at: np.ndarray, i: int, j: int, spans: bool =
     lo, hi = int(at[i]), int(at[j])
     if hi - lo <= SLICE or j - i > 1:
         b, cuts = data[lo:hi], at[i + 1 : j] - lo
-        h, s, e = _slice(b, cuts[cuts < hi - lo]) if hi > lo else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        h, s, e, *_ = _slice(b, cuts[cuts < hi - lo]) if hi > lo else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         row = np.searchsorted(at[i + 1 : j + 1] - lo, s, "right")
         if spans:
             base = (at[i:j] - lo)[row] if len(row) else 0
             return h, row, s - base, e - base
         return h, row
-    hs, ss, es, p = [], [], [], lo
-    while p < hi:  # a long text: slices that end at white space
+    hs, ss, es = [], [], []
+    for p, q in text_slices(data, lo, hi):
+        h, s, e, *_ = _slice(data[p:q], np.zeros(0, np.int64))
+        hs.append(h), ss.append(s + (p - lo)), es.append(e + (p - lo))
+    h = np.concatenate(hs)
+    return (h, np.zeros(len(h), np.int64), np.concatenate(ss), np.concatenate(es)) if spans else (h, np.zeros(len(h), np.int64))
+
+
+def text_slices(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Pieces of one text of SLICE bytes at most, each ending at white space (or longer, where there is none)."""
+    p = lo
+    while p < hi:
         q = min(hi, p + SLICE)
         while q < hi:
             white = np.flatnonzero(_WS[data[p:q]])
@@ -104,11 +117,8 @@ def hashed_words(data: np.ndarray, at: np.ndarray, i: int, j: int, spans: bool =
                 q = p + int(white[-1]) + 1
                 break
             q = min(hi, q + (q - p))
-        h, s, e = _slice(data[p:q], np.zeros(0, np.int64))
-        hs.append(h), ss.append(s + (p - lo)), es.append(e + (p - lo))
+        yield p, q
         p = q
-    h = np.concatenate(hs)
-    return (h, np.zeros(len(h), np.int64), np.concatenate(ss), np.concatenate(es)) if spans else (h, np.zeros(len(h), np.int64))
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -49,9 +49,23 @@ def small(df: DataFrame) -> DataFrame:
     return df
 
 
-def spaced(text: Column) -> Column:
-    """Text (null: empty) with all ASCII white space as blanks."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), WS_OTHER, " " * len(WS_OTHER))
+def spaced(text: Column, chars: str = WS_OTHER) -> Column:
+    """Text (null: empty) with all ASCII white space, or these characters, as blanks.
+
+    By one replacement per character: a search over bytes that gives the text itself back where there is none, while
+    translate looks every character up.
+    """
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for c in chars:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
+def without(text: Column, chars: str) -> Column:
+    """Text without these characters."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def words(text: Column) -> Column:
@@ -59,8 +73,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+def count_words(blanked: Column) -> Column:
+    """Number of words of a text that has no white space but blanks, and none at its ends; cut into words only where blanks stand together."""
+    single = F.octet_length(blanked) - F.octet_length(F.replace(blanked, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.octet_length(blanked) == 0, 0).when(F.instr(blanked, "  ") == 0, single).otherwise(F.size(F.array_remove(F.split(blanked, " "), "")))
+
+
+def with_n_words(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df and the number of words of a text column."""
+    blank = F.trim(spaced(F.col(text))).alias("_blanked")
+    return df.select("*", blank).select(*df.columns, count_words(F.col("_blanked")).cast("long").alias(name))
 
 
 def packed(df: DataFrame, *needed: str) -> DataFrame:

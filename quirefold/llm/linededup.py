@@ -25,11 +25,11 @@ from quirefold.llm import common as C
 MIN_WORDS, MAX_WORDS, MAX_LINES, DIVISOR = 20, 40, 8, 4
 
 
-def _lines(text: Column) -> Column:
-    """Structs of the lines with words: p place among all lines, h hash, w number of words."""
-    all_lines = F.split(text, "\n")
+def _lines(text: str, blanked: str) -> Column:
+    """Structs of the lines with words: p place among all lines, h hash, w number of words. blanked: the text with blanks for other white space but line ends."""
+    both = F.arrays_zip(F.split(text, "\n").alias("x"), F.transform(F.split(blanked, "\n"), lambda y: F.trim(y)).alias("y"))
     number = lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long")
-    return F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("p"), number(x).alias("h"), F.size(C.words(x)).alias("w"))), lambda x: x["w"] > 0)
+    return F.filter(F.transform(both, lambda b, i: F.struct(i.alias("p"), number(b["x"]).alias("h"), C.count_words(b["y"]).alias("w"))), lambda x: x["w"] > 0)
 
 
 def _has_word(line: Column) -> Column:
@@ -77,9 +77,13 @@ def _chunks(lines: str, forward: bool) -> Column:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """(doc_id, k, f, t, h) of every chunk; k is a hash of doc_id and text, f and t are line numbers, both included."""
-    a = docs.select("doc_id", "k", _lines(F.col("text")).alias("ls"))
-    b = a.select("doc_id", "k", F.array_distinct(F.concat(_chunks("ls", True), _chunks("ls", False))).alias("cs"))
-    return b.select("doc_id", "k", F.explode("cs").alias("c")).select("doc_id", "k", "c.f", "c.t", "c.h")
+    blanked = docs.select("doc_id", "k", "text", C.spaced(F.col("text"), C.WS_OTHER.replace("\n", "")).alias("blanked"))
+    a = blanked.select("doc_id", "k", _lines("text", "blanked").alias("ls"))
+    b = a.select("doc_id", "k", F.sort_array(F.concat(_chunks("ls", True), _chunks("ls", False))).alias("cs"))
+    # A chunk found in both directions is next to itself once sorted (array_distinct would compare all structs with all).
+    before = F.concat(F.array(F.lit(None).cast("struct<f:int,t:int,h:bigint>")), F.slice("cs", 1, F.greatest(F.size("cs") - 1, F.lit(0))))
+    once = F.filter(F.arrays_zip(F.col("cs").alias("x"), before.alias("y")), lambda b: b["x"].isNotNull() & ~b["x"].eqNullSafe(b["y"]))
+    return b.select("doc_id", "k", F.explode(once).alias("c")).select("doc_id", "k", "c.x.f", "c.x.t", "c.x.h")
 
 
 def _without_covered(spans: Column) -> Column:

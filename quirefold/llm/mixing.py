@@ -61,7 +61,7 @@ def copies(doc_id, size_target, size_source, seed: str):
 
 def plan_mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """The rows packed in `_in`, with size, source_size, target and n_copies. The table of sources is settled, and broadcast only if checked small."""
-    sized = C.packed(docs, "doc_id", "text", "source").withColumn("_size", C.n_words(F.col("_text")))
+    sized = C.with_n_words(C.packed(docs, "doc_id", "text", "source"), "_text", "_size")
     per = C.settle(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), **targets), "sources")
     per = per.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     joined = sized.join(C.small(per), F.col("_source").eqNullSafe(F.col("_s")))

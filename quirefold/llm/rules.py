@@ -47,7 +47,7 @@ def bucket_top(b: Column) -> Column:
 def measured(df: DataFrame, keep: list[str]) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the metrics need, all prefixed `_`."""
     text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
-    without = lambda c, chars: F.length(F.translate(c, chars, ""))
+    without = lambda c, chars: F.length(C.without(c, chars))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(C.spaced(x))) > 0)
     a = df.select(*keep, text.alias("_t"), C.words(text).alias("_w"), lines.alias("_l"))
     n = F.size("_w")
