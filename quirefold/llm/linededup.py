@@ -26,10 +26,16 @@ MIN_WORDS, MAX_WORDS, MAX_LINES, DIVISOR = 20, 40, 8, 4
 
 
 def _lines(text: str, blanked: str) -> Column:
-    """Structs of the lines with words: p place among all lines, h hash, w number of words. blanked: the text with blanks for other white space but line ends."""
-    both = F.arrays_zip(F.split(text, "\n").alias("x"), F.transform(F.split(blanked, "\n"), lambda y: F.trim(y)).alias("y"))
-    number = lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long")
-    return F.filter(F.transform(both, lambda b, i: F.struct(i.alias("p"), number(b["x"]).alias("h"), C.count_words(b["y"]).alias("w"))), lambda x: x["w"] > 0)
+    """Structs of the lines with words: p place among all lines, h hash, d part of another hash, w number of words. blanked: the text with blanks for other white space but line ends."""
+    # three hex digits of each line's md5: all of its hash that the rolling hash modulo DIVISOR depends on
+    cut = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(F.md5(x.cast("binary")), 13, 3).alias("m")))
+    both = F.arrays_zip(cut.alias("x"), F.transform(F.split(blanked, "\n"), lambda y: F.trim(y)).alias("y"))
+
+    def number(m: Column) -> Column:
+        digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(m, k, 1)) - 1
+        return digit(1) * 256 + digit(2) * 16 + digit(3)
+
+    return F.filter(F.transform(both, lambda b, i: F.struct(i.alias("p"), b["x"]["h"].alias("h"), number(b["x"]["m"]).alias("d"), C.count_words(b["y"]).alias("w"))), lambda x: x["w"] > 0)
 
 
 def _has_word(line: Column) -> Column:
@@ -53,7 +59,7 @@ def _chunks(lines: str, forward: bool) -> Column:
         for k in reversed(range(MAX_LINES)):
             close = total[k] >= MAX_WORDS
             if k:
-                roll = (x[f"s{k - 1}"]["h"].bitwiseXOR(F.call_function("shiftright", x[f"s{k - 1}"]["h"], F.lit(7)))).bitwiseXOR(x[f"s{k}"]["h"])
+                roll = (x[f"s{k - 1}"]["d"].bitwiseXOR(F.call_function("shiftright", x[f"s{k - 1}"]["d"], F.lit(7)))).bitwiseXOR(x[f"s{k}"]["d"])
                 close = close | ((total[k] >= MIN_WORDS) & (F.pmod(roll, F.lit(DIVISOR)) == 0))
             if k == MAX_LINES - 1:
                 close = total[k].isNotNull()

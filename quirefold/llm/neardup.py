@@ -3,12 +3,15 @@
 A document's set is its distinct 5-word shingles (fewer words: the whole sequence; none: empty, linked with nothing).
 Equal sets are one class, held once. One hash per shingle serves all bins: the top bits name the bin, the least hash in
 a bin is its value, and an empty bin takes the value of the first non-empty one in a fixed pseudo-random sequence of
-its own. Bands of 4 bins are buckets. Within a bucket each class is only paired with the least class (a star). Pairs
-are confirmed on full sets, and links make components by repeated star contraction. Where a bucket then still holds
-several components, its members are compared across them (never within one), so that no link hides behind a centre
-that is like neither; a component is thus never spread out into pairs, however large.
+its own. Bands of 4 bins are buckets. Within a bucket each class is only paired with one of them, the centre (a star),
+so pairs are at most classes times bands, however large a bucket. Pairs are confirmed on full sets, and links make
+components by repeated contraction.
 
-With 32 bands of 4, two sets of Jaccard 0.75 share no bucket with probability (1 - 0.75^4)^32 = 5e-6.
+With 32 bands of 4, two sets of Jaccard 0.75 share no bucket with probability (1 - 0.75^4)^32 = 5e-6. A link may also
+hide behind a centre that is not like its ends. So all classes of stars with a pair that did not become one component
+are dealt once more, to buckets of two bands each (96 of them): sets of Jaccard 0.5 share one of these with probability
+0.3, those of 0.75 about ten. There centres are drawn by lot, in LOTS drawings, so that each shared bucket is a new
+chance for a centre that is linked with both.
 
 Nulls: a null text is empty; a null doc_id is linked with nothing and kept. Rows of one doc_id are one document: their
 sets each may link it, and they fare alike. The least doc_id of a component stays (ties cannot be). Shingles are held
@@ -27,6 +30,8 @@ from quirefold.llm import common as C
 
 BINS, ROWS, K, PERCENT = 128, 4, 5, 75
 BANDS = BINS // ROWS
+#: Drawings of centres in the buckets of two bands.
+LOTS = 2
 _SHIFT = np.uint64(64 - 7)
 
 
@@ -140,25 +145,40 @@ def _sets(of: DataFrame) -> DataFrame:
 def contracted(edges: DataFrame) -> DataFrame:
     """(v, root) for every v of an edge (a, b): root is the least number of its component.
 
-    Each round joins every vertex to the least neighbour, then halves the paths; the labels are settled each time, so
-    a round's plan stays small and a lost executor costs one round. Partial minima go before the shuffle.
+    Each round, every vertex and its old root take the least root next to them, and paths are halved; the labels are
+    settled each time, so a round's plan stays small and a lost executor costs one round. Minima are partial before the
+    shuffle; labels are broadcast only while they are checked small.
     """
     both = C.settle(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct(), "edges")
-    label = C.settle(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("root")), "labels")
+    label = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("root"))
+    label = C.settle(label, "labels")
     while True:
-        near = both.join(label.select(F.col("v").alias("u"), F.col("root").alias("r")), "u").groupBy("v").agg(F.min("r").alias("r"))
-        met = label.join(near, "v").select("v", "root", F.least("root", "r").alias("r"))
-        # the old root learns of the lesser one too, which joins whole trees at once
-        hooked = met.filter("r < root").select(F.col("root").alias("v"), "r").groupBy("v").agg(F.min("r").alias("hook"))
-        at = met.select("v", "root", "r").join(hooked, "v", "left").select("v", F.col("root").alias("old"), F.least("r", F.coalesce("hook", "r")).alias("r"))
-        jump = at.select(F.col("v").alias("r"), F.col("r").alias("rr"))
-        new = C.settle(at.join(jump, "r", "left").select("v", "old", F.coalesce("rr", "r").alias("root")), "labels")
+        at = C.small(label)
+        near = both.join(at.select(F.col("v").alias("u"), F.col("root").alias("r")), "u").select("v", "r").union(label.select("v", "root"))
+        least = near.groupBy("v").agg(F.min("r").alias("r"))
+        # what a vertex has learned, its old root learns too, so that whole trees join at once
+        hooked = least.join(at, "v").select(F.col("root").alias("v"), "r").union(least).groupBy("v").agg(F.min("r").alias("r"))
+        hooked = C.settle(hooked, "hooked")
+        new = hooked.join(C.small(hooked.select(F.col("v").alias("r"), F.col("r").alias("rr"))), "r").select("v", F.col("rr").alias("root"))
+        new = C.settle(new.join(at.withColumnRenamed("root", "old"), "v"), "labels")
         moved = new.filter("old <> root").limit(1).count()
         label = new.select("v", "root")
         if not moved:
             return label
 
 
+def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (v, root) once more links (a, b) are there: only what these touch is contracted, root by root."""
+    if label is None:
+        return contracted(links)
+    ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
+    base = C.settle(label.union(ends.join(label, "v", "left_anti").select("v", F.col("v").alias("root"))), "base")
+    root = lambda x: base.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
+    upper = contracted(links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    upper = upper.select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return C.settle(base.join(upper, "root", "left").select("v", F.coalesce("top", "root").alias("root")), "base")
+
+
 def _confirmed(pairs: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose full sets are alike. who: (c, doc_id) of every class."""
     ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
@@ -170,55 +190,65 @@ def _confirmed(pairs: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
     return two.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that are not yet in one component."""
+    of = lambda x: label.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _starred(members: DataFrame, priority) -> DataFrame:
+    """(a, b, bands) for members (bucket, c, n): each with the member of the bucket that has the least priority, if their sizes allow a link."""
+    centre = members.groupBy("bucket").agg(F.min(F.struct(priority.alias("p"), "c", "n")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+    centre = C.settle(centre.select("bucket", F.col("m.c").alias("b"), F.col("m.n").alias("nb")), "centres")
+    fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
+    pairs = members.join(centre, "bucket").filter(fits & (F.col("c") != F.col("b")))
+    return pairs.groupBy(F.col("c").alias("a"), "b").agg(F.count("*").alias("bands"))
+
+
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, c) of every row with a doc_id, and (doc_id, component_id) of the documents linked with another."""
+    """(doc_id, n, c) of every row with a doc_id, and (c, component_id) of the classes of several rows or with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = C.settle(_signed(docs.filter("doc_id IS NOT NULL")), "signed")
     full = rows.filter("n > 0")
     # A class is a set; c names it. Its least document stands for it.
-    classes = C.settle(full.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
+    classes = C.settle(full.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("many")), "classes")
     who = classes.select("c", "doc_id")
-    members = C.settle(classes.select(F.explode("bands").alias("bucket"), "c", "n").join(classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket"), "members")
-    centres = members.groupBy("bucket").agg(F.min(F.struct("n", "c")).alias("m")).select("bucket", "m.*").withColumnsRenamed({"n": "nb", "c": "b"})
-    fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
-    stars = C.settle(members.join(C.settle(centres, "centres"), "bucket").filter(fits & (F.col("c") != F.col("b"))).select(F.col("c").alias("a"), "b").groupBy("a", "b").agg(F.count("*").alias("bands")), "stars")
+    members = classes.select(F.explode("bands").alias("bucket"), "c", "n")
+    stars = C.settle(_starred(members, F.col("c")), "stars")
     # First the centre with which a class shares most bands; the others only if they are not yet in one component.
-    best = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = C.settle(_confirmed(C.settle(best, "pairs"), who, docs), "links")
-    label = contracted(links)
-
-    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        of = lambda x: label.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    tried = best
-    rest = C.settle(apart(stars.select("a", "b").join(tried, ["a", "b"], "left_anti"), label), "pairs")
+    best = C.settle(stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
+    label = joined(None, C.settle(_confirmed(best, who, docs), "links"))
+    tried = stars.select("a", "b")
+    rest = C.settle(_apart(tried.join(best, ["a", "b"], "left_anti"), label), "pairs")
     if rest.limit(1).count():
-        links = C.settle(links.union(_confirmed(rest, who, docs)), "links")
-        label = contracted(links)
-    # Buckets that still hold several components: their members, across components, without the pairs of the stars.
-    placed = members.join(label.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("bucket")
-    left = C.settle(placed.join(mixed, "bucket"), "mixed")
-    right = left.select("bucket", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-    cross = left.withColumnRenamed("c", "a").join(right, "bucket").filter(fits & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = C.settle(cross.join(known, ["a", "b"], "left_anti"), "pairs")
-    if cross.limit(1).count():
-        links = C.settle(links.union(_confirmed(cross, who, docs)), "links")
-    # On documents: each to the least of its class, and the links between those.
-    own = full.join(who.select("c", F.col("doc_id").alias("b")), "c").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    named = links.join(who.select(F.col("c").alias("a"), F.col("doc_id").alias("da")), "a").join(who.select(F.col("c").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    label = contracted(own.union(named.filter("a <> b")))
-    return rows, label.select(F.col("v").alias("doc_id"), F.col("root").alias("component_id"))
+        label = joined(label, C.settle(_confirmed(rest, who, docs), "links"))
+    # Classes with a centre they turned out not to be linked with: there a link may hide behind the centre. Buckets of
+    # two bands each hold hardly any pair that is not linked; stars in these, with a centre drawn by lot, find it.
+    open_ends = _apart(tried, label)
+    open_ends = C.settle(open_ends.select(F.col("a").alias("c")).union(open_ends.select("b")).distinct(), "open")
+    near = C.settle(stars.join(open_ends.select(F.col("c").alias("b")), "b").select(F.col("a").alias("c")).union(open_ends).distinct(), "near")
+    if near.limit(1).count():
+        pair = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("bands")[i], F.col("bands")[(i + k) % BANDS]) for k in (1, 3, 7) for i in range(BANDS)]))
+        doubled = C.settle(classes.join(near, "c").select(pair.alias("bucket"), "c", "n"), "doubled")
+        for lot in range(LOTS):
+            more = _starred(doubled, F.xxhash64(F.lit(lot), "bucket", "c")).select("a", "b")
+            more = C.settle(_apart(more.join(tried, ["a", "b"], "left_anti"), label), "pairs")
+            if more.limit(1).count():
+                label = joined(label, C.settle(_confirmed(more, who, docs), "links"))
+    # Rows of one doc_id are one document, whatever their texts.
+    several = C.settle(full.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("z")).filter("b <> z").select("doc_id", "b"), "several")
+    if several.limit(1).count():
+        label = joined(label, C.settle(full.join(several, "doc_id").select(F.col("c").alias("a"), "b").filter("a <> b").distinct(), "links"))
+    placed = C.settle(classes.select("c", "doc_id", "many").join(label.select(F.col("v").alias("c"), "root"), "c", "left").filter("many > 1 OR root IS NOT NULL").select("c", "doc_id", F.coalesce("root", "c").alias("root")), "placed")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.select("doc_id", "n", "c"), C.settle(placed.join(least, "root").select("c", "component_id"), "components")
 
 
 def rated(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; a null doc_id has component null and is kept."""
     rows, linked = components(docs)
-    out = rows.select("doc_id", "n").join(linked, "doc_id", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(linked, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lone = _signed(nameless).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -227,6 +257,6 @@ def rated(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents but one of each component, with their columns."""
-    _, linked = components(docs.select("doc_id", "text"))
-    gone = C.settle(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
+    rows, linked = components(docs.select("doc_id", "text"))
+    gone = C.settle(rows.join(linked, "c").filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return C.unpacked(C.packed(docs, "doc_id").join(gone, F.col("_doc_id").cast("long") == F.col("_gone"), "left_anti"), docs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import common as C
-from quirefold.llm import chat, decontam, htmltext, linededup, mixing, neardup, rules, tokencount
+from quirefold.llm import chat, decontam, htmltext, linededup, mixing, neardup, quality, rules, secrets, tokencount
 
 
 def _tokenizer_file(name: str) -> str:
@@ -17,6 +17,10 @@ def _tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(C.table(spark, sf_dir, "documents").select("doc_id", "text"), C.table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.rated(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,6 +42,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extracted(C.table(spark, sf_dir, "pages"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """path: the vocabulary file of the tokenizer, found beside the public tokenizers' module if not given."""
     said = r"\### Assistant: </turn> ok"
@@ -57,11 +65,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_grade": op1_quality_grade,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_text": op6_html_text,
+    "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
