@@ -171,6 +171,8 @@ def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components (v, root) once more links (a, b) are there: only what these touch is contracted, root by root."""
     if label is None:
         return contracted(links)
+    if not links.limit(1).count():
+        return label
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     base = C.settle(label.union(ends.join(label, "v", "left_anti").select("v", F.col("v").alias("root"))), "base")
     root = lambda x: base.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
