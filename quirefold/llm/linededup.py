@@ -112,7 +112,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     chosen = C.settle(per_doc.select("k", F.explode(_without_covered(F.col("cs"))).alias("c")).select("k", "c.f", "c.t", "c.h", F.lit(False).alias("first")), "chosen")
     wanted = chosen.union(first.join(chosen.select("h").distinct(), "h", "left_semi").select("k", "f", "t", "h", F.lit(True)))
     spans = C.settle(wanted.groupBy("k").agg(F.collect_set(F.struct("f", "t", "h", "first")).alias("cs")), "spans")
-    held = docs.select("k", "text").join(spans, "k").select("k", F.split("text", "\n").alias("ls"), F.explode("cs").alias("c"))
+    # The spans grow with the corpus: the texts are dealt by k at every size, and nothing is broadcast.
+    held = docs.select("k", "text").join(spans.hint("merge"), "k").select("k", F.split("text", "\n").alias("ls"), F.explode("cs").alias("c"))
     words_only = F.filter(F.slice("ls", F.col("c.f") + 1, F.col("c.t") - F.col("c.f") + 1), _has_word)
     pieces = held.select("k", "c.*", F.array_join(words_only, "\n").alias("b"))
     same = pieces.filter("NOT first").join(pieces.filter("first").select("h", F.col("b").alias("b1")), "h").filter("b = b1")
@@ -123,7 +124,7 @@ def rewritten(docs: DataFrame) -> DataFrame:
     """The packed rows, with the text left as `_new`, and `_lines` and `_removed`, the numbers of lines with words before and removed."""
     rows = C.packed(docs, "doc_id", "text").withColumn("_text", F.col("_text").cast("string")).withColumn("_k", F.xxhash64("_doc_id", "_text"))
     spans = repeats(rows.select(F.col("_doc_id").alias("doc_id"), F.col("_text").alias("text"), F.col("_k").alias("k")))
-    joined = rows.join(spans.select(F.col("k").alias("_j"), "spans"), F.col("_k") == F.col("_j"), "left")
+    joined = rows.join(spans.select(F.col("k").alias("_j"), "spans").hint("merge"), F.col("_k") == F.col("_j"), "left")
     lines = joined.select("_in", "_doc_id", "_text", "spans", F.split("_text", "\n").alias("_ls"))
     kept = ["_in", "_doc_id", "_text", "_ls"]
     with_words = F.filter(F.transform("_ls", lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
