@@ -42,7 +42,7 @@ def points_anywhere(documents: DataFrame, column: str, element: str) -> DataFram
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, page_id, xml) of the documents under a folder, at any depth."""
-    of = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path)
+    of = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xml")
     return of.select(F.col("_metadata.file_path").alias("path"), T.stem(F.col("_metadata.file_path")).alias("page_id"), F.col("value").alias("xml"))
 
 
