@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -344,13 +345,19 @@ class Counter:
                 last[a + len(fit) - 1] = True
 
 
+@lru_cache(1)
+def _counter(path: str) -> Counter:
+    """One machine per worker process and file: its states serve all batches and tasks to come."""
+    return Counter(path)
+
+
 def counted(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. path: the vocabulary file, at the same place on every executor."""
     of = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {of.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = _counter(path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             i = 0
