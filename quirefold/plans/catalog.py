@@ -28,7 +28,7 @@ _Q = "request_ AS (SELECT event_id, user_id, ts AS queued_at, ts + to_seconds(ev
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a query under name, with its SQL; a leading bracketed list of carriers becomes a WITH clause."""
+    """Registers a query under name, with its SQL."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -112,7 +112,7 @@ def _dim(spark):
 
 @query("p08_region_iter", f"WITH {_R} SELECT page_id, seq, CASE rtype WHEN 'heading' THEN 1 WHEN 'marginalia' THEN 2 ELSE 1 END AS class_id, {_CORNERS} AS points FROM region_ WHERE rtype IS NOT NULL")
 def p08(spark, sf_dir):
-    r = S.region(spark, sf_dir).select("page_id", "seq", "rtype", G.rectangle(F.col("x").cast("int"), F.col("y").cast("int"), "w" and F.col("w"), F.col("h")).alias("pts"))
+    r = S.region(spark, sf_dir).select("page_id", "seq", "rtype", G.rectangle(F.col("x").cast("int"), F.col("y").cast("int"), F.col("w"), F.col("h")).alias("pts"))
     return model.class_regions(r, _dim(spark)).select("page_id", "seq", "class_id", G.point_text(F.col("pts")).alias("points"))
 
 
@@ -237,11 +237,8 @@ def _segments(spark, sf_dir):
     return seg.filter("bx IS NOT NULL").select("*", (F.col("user_id") * 7 % 1000).alias("px"), (F.col("user_id") * 13 % 60).alias("py"))
 
 
-_SIX = [F.col(c) if False else c for c in ("px", "py", "ax", "ay", "bx", "by")]
-
-
 def _six():
-    return [F.col(c) for c in _SIX]
+    return [F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]
 
 
 @query("g05_segment_distance", f"WITH {_SEG}, {_PROBE} SELECT user_id, i, round({_DIST}, 6) AS d FROM seg JOIN probe USING (user_id) WHERE bx IS NOT NULL")
@@ -563,11 +560,11 @@ def r12(spark, sf_dir):
     return raster.panoptic_ids(S.region(spark, sf_dir).filter("rtype IS NOT NULL"), "page_id", "rtype", "seq")
 
 
-@query("r13_yolo_rows", f"WITH {_R}, {_P} SELECT r.page_id, r.seq, (CASE rtype WHEN 'marginalia' THEN 2 ELSE 1 END - 1) AS category, round((r.x + r.w / 2.0::DOUBLE) / (p.w - 1), 6) AS cx, round((r.y + r.h / 2.0::DOUBLE) / (p.h - 1), 6) AS cy FROM region_ r JOIN page_ p USING (page_id) WHERE rtype IS NOT NULL")
+@query("r13_yolo_rows", f"WITH {_R}, {_P} SELECT r.page_id, r.seq, (CASE rtype WHEN 'marginalia' THEN 2 ELSE 1 END - 1) AS category, (r.x + r.w / 2.0::DOUBLE) / (p.w - 1) AS cx, (r.y + r.h / 2.0::DOUBLE) / (p.h - 1) AS cy FROM region_ r JOIN page_ p USING (page_id) WHERE rtype IS NOT NULL")
 def r13(spark, sf_dir):
     p = S.page(spark, sf_dir).select("page_id", F.col("w").alias("pw"), F.col("h").alias("ph"))
     r = S.region(spark, sf_dir).join(F.broadcast(_dim(spark).select(F.col("name").alias("rtype"), "class_id")), "rtype").join(p, "page_id")
-    return r.select("page_id", "seq", (F.col("class_id") - 1).alias("category"), F.round((F.col("x") + F.col("w") / 2) / (F.col("pw") - 1), 6).alias("cx"), F.round((F.col("y") + F.col("h") / 2) / (F.col("ph") - 1), 6).alias("cy"))
+    return r.select("page_id", "seq", (F.col("class_id") - 1).alias("category"), ((F.col("x") + F.col("w") / 2) / (F.col("pw") - 1)).alias("cx"), ((F.col("y") + F.col("h") / 2) / (F.col("ph") - 1)).alias("cy"))
 
 
 # --- data sets ---
