@@ -397,6 +397,8 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     before = [make for make, p in ((notice, 0.2), (head, 0.35), (menu, 0.8), (form, 0.1), (ad, 0.45), (menu, 0.08), (side, 0.12)) if rng.random() < p]
     after = [make for make, p in ((share, 0.1), (comments, 0.3), (side, 0.35), (ad, 0.25), (form, 0.12), (notice, 0.1), (foot, 0.85)) if rng.random() < p]
+    bare = rng.random()  # pages of an article and little else
+    before, after = before[: 0 if bare < 0.08 else None], after[: 0 if bare < 0.14 else None]
     if rng.random() < 0.3:
         rng.shuffle(before)
         rng.shuffle(after)
