@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Deletes the application's own settled tables when its driver ends in good order."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or jsc is None:  # the context has been stopped
+        return
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -36,7 +49,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     sizes, and lets a column be read alone.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/quirefold/{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_removed, spark, own)
+    at = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
