@@ -268,19 +268,20 @@ def test_secrets_are_placed(spark):
 
 def test_grades_are_learned(spark):
     rng, docs, labels = random.Random(12), [], []
-    for k in range(900):
-        words = prose(rng, rng.randint(20, 120)).split()
+    vocabulary = prose(rng, 300).split()
+    for k in range(4000):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(20, 120))]
         kind = k % 3
         if kind == 0:
             words[5] = words[11] = "foulword" + rng.choice("abcdefgh")
         if kind == 1:
             words = [w + "$$$" for w in words]
         docs.append((k, " ".join(words)))
-        if k < 600:
+        if k < 3400:
             labels.append((k, int(kind != 1), int(kind == 0)))
     got = quality.rated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
-    held = [r for r in got if r.doc_id >= 600]
-    assert np.mean([r.kept == (r.doc_id % 3 == 2) for r in held]) > 0.95
+    held = [r for r in got if r.doc_id >= 3400]
+    assert np.mean([r.kept == (r.doc_id % 3 == 2) for r in held]) > 0.97
     mean = [np.mean([r.expected_grade for r in held if r.doc_id % 3 == k]) for k in range(3)]
     assert mean[0] < mean[1] < mean[2] and all(0 <= r.tail_probability <= 1 for r in held)
 
