@@ -3,15 +3,16 @@
 A document's set is its distinct 5-word shingles (fewer words: the whole sequence; none: empty, linked with nothing).
 Equal sets are one class, held once. One hash per shingle serves all bins: the top bits name the bin, the least hash in
 a bin is its value, and an empty bin takes the value of the first non-empty one in a fixed pseudo-random sequence of
-its own. Bands of 4 bins are buckets. Within a bucket each class is only paired with one of them, the centre (a star),
-so pairs are at most classes times bands, however large a bucket. Pairs are confirmed on full sets, and links make
+its own. Bands of 4 bins are buckets, each split by size so that two sizes that allow a link share a part. Within a part
+each class is first paired with one of them, the centre (a star). Pairs are confirmed on full sets, and links make
 components by repeated contraction.
 
 With 32 bands of 4, two sets of Jaccard 0.75 share no bucket with probability (1 - 0.75^4)^32 = 5e-6. A link may also
-hide behind a centre that is not like its ends. So all classes of stars with a pair that did not become one component
-are dealt once more, to buckets of two bands each (96 of them): sets of Jaccard 0.5 share one of these with probability
-0.3, those of 0.75 about ten. There centres are drawn by lot, in LOTS drawings, so that each shared bucket is a new
-chance for a centre that is linked with both.
+hide behind a centre that is not like its ends, or whose size differs. So in each part that still holds several
+components all members in different ones are compared: by their whole sets (32-bit values) up to SAMPLE shingles, by
+samples of about so many beyond, less four standard errors. Parts of more than FULL members are first dealt by further
+bands (SPLITS each, at most DEEP times; a link of Jaccard 0.75 is parted from a bucket with probability 0.1 a time, and
+has about ten); what is large then is compared piece by piece. What is alike is confirmed on full sets as well.
 
 Nulls: a null text is empty; a null doc_id is linked with nothing and kept. Rows of one doc_id are one document: their
 sets each may link it, and they fare alike. The least doc_id of a component stays (ties cannot be). Shingles are held
@@ -20,6 +21,8 @@ equal if their 64-bit hashes are.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +33,9 @@ from quirefold.llm import common as C
 
 BINS, ROWS, K, PERCENT = 128, 4, 5, 75
 BANDS = BINS // ROWS
-#: Drawings of centres in the buckets of two bands.
-LOTS = 2
+#: Values of a set that stand for it in comparisons; members of a bucket that are compared in full, and, of larger ones, how many
+#: further bands split each, so many times.
+SAMPLE, FULL, SPLITS, DEEP = 512, 1024, 6, 3
 _SHIFT = np.uint64(64 - 7)
 
 
@@ -199,15 +203,146 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _starred(members: DataFrame, priority) -> DataFrame:
-    """(a, b, bands) for members (bucket, c, n): each with the member of the bucket that has the least priority, if their sizes allow a link."""
-    centre = members.groupBy("bucket").agg(F.min(F.struct(priority.alias("p"), "c", "n")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+def _crowded(members: DataFrame) -> DataFrame:
+    """(bucket, t, c, n) of members (bucket, c, n): each bucket of several split by size.
+
+    A class of size class s, the whole part of log n to the base 100 / PERCENT, is in the parts t = s and s + 1, so that
+    two sizes that allow a link share a part.
+    """
+    shared = C.settle(members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"), "shared")
+    s = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+    parts = members.join(shared, "bucket").select("bucket", F.explode(F.array(s, s + 1)).alias("t"), "c", "n")
+    return C.settle(parts.select(F.xxhash64("bucket", "t").alias("bucket"), "t", "c", "n"), "crowd")
+
+
+def _fits(a: str, b: str):
+    """Whether two sizes allow a link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+
+
+def _starred(members: DataFrame) -> DataFrame:
+    """(a, b, bands) for members (bucket, c, n): each with the member of the bucket that has the least c, if their sizes allow a link."""
+    centre = members.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.count("*").alias("k")).filter("k > 1")
     centre = C.settle(centre.select("bucket", F.col("m.c").alias("b"), F.col("m.n").alias("nb")), "centres")
-    fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
-    pairs = members.join(centre, "bucket").filter(fits & (F.col("c") != F.col("b")))
+    pairs = members.join(centre, "bucket").filter(_fits("n", "nb") & (F.col("c") != F.col("b")))
     return pairs.groupBy(F.col("c").alias("a"), "b").agg(F.count("*").alias("bands"))
 
 
+def _rate(t: int) -> int:
+    """Samples of the part t are the values below this: whole sets up to SAMPLE, else about so many of each."""
+    return min(1 << 32, int((1 << 32) * SAMPLE / (100 / PERCENT) ** t))
+
+
+def _sampled(of: DataFrame) -> DataFrame:
+    """(c, v) of rows (doc_id, c, n, text): the sorted 32-bit values of the set below the rate of its size class."""
+
+    def run(batches):
+        for batch in batches:
+            cs, vs, held = [], [], 0
+            for w, s in zip(batch.column(1).to_pylist(), sorted_sets(batch.column(3))):
+                if len(s) and set_hash(s)[0] == w:
+                    v = np.sort(B.mix(s) >> np.uint64(32))
+                    v = v[v < _rate(math.floor(math.log(len(s)) / math.log(100 / PERCENT)))]
+                    cs.append(w), vs.append(v.astype(np.uint32).tobytes())
+                    held += len(v)
+                if held > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(vs, pa.binary())], names=["c", "v"])
+                    cs, vs, held = [], [], 0
+            if cs:
+                yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(vs, pa.binary())], names=["c", "v"])
+
+    return of.mapInArrow(run, "c long, v binary")
+
+
+def alike(c: np.ndarray, n: np.ndarray, root: np.ndarray, t: int, samples: list[bytes]) -> list[tuple[int, int]]:
+    """Of one part's members all pairs in different components whose samples are alike, less four standard errors; of two components the most alike pair alone if samples are whole."""
+    whole = _rate(t) == 1 << 32
+    values = [np.frombuffer(v, np.uint32) for v in samples]
+    if not whole:
+        values = [v[v < _rate(t)] for v in values]
+    size = np.array([len(v) for v in values])
+    _, at = np.unique(np.concatenate(values), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    mark = np.zeros(at.max(initial=0) + 1, np.int64)
+    heads, most = np.unique(root, return_counts=True)
+    major = heads[most.argmax()]  # of two members in different components one is not in the largest
+    out, best = [], {}
+    for i in np.flatnonzero(root != major):
+        mine = at[begin[i] : begin[i + 1]]
+        mark[mine] = 1
+        total = np.concatenate(([0], np.cumsum(mark[at])))
+        mark[mine] = 0
+        both = total[begin[1:]] - total[begin[:-1]]
+        union = np.maximum(size[i] + size - both, 1)
+        least = PERCENT / 100 - (0.005 if whole else 4 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union))
+        ok = (root != root[i]) & (both >= least * union) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
+        for j in np.flatnonzero(ok):
+            pair = (int(min(c[i], c[j])), int(max(c[i], c[j])))
+            if whole and both[j] * 100 >= PERCENT * union[j]:
+                ends = min(root[i], root[j]), max(root[i], root[j])
+                best[ends] = max(best.get(ends, (0.0, pair)), (both[j] / union[j], pair))
+            else:
+                out.append(pair)
+    return sorted({*out, *(pair for _, pair in best.values())})
+
+
+def _compared(parts: DataFrame) -> DataFrame:
+    """(a, b) of rows (bucket, t, c, n, root, v): in each bucket all pairs that may be links, by samples."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def found():
+            t, c, n, root = (np.array(x, np.int64) for x in list(zip(*held))[1:5])
+            pairs = alike(c, n, root, int(t[0]), [r[5] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if held and row[0] != held[0][0]:
+                    yield found()
+                    held = []
+                held.append(row)
+        if held:
+            yield found()
+
+    sorted_parts = parts.select("bucket", "t", "c", "n", "root", "v").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return sorted_parts.mapInArrow(run, "a long, b long").distinct()
+
+
+def _hidden(crowd: DataFrame, classes: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Candidate pairs (a, b) in the buckets that still hold several components; None if there are no such buckets.
+
+    Buckets of more than FULL members are dealt once more, by SPLITS further bands each, as long as that makes them
+    smaller; what is large after DEEP times is cut into parts, each compared with each.
+    """
+    root = label.select(F.col("v").alias("c"), "root")
+    now = crowd.join(root, "c", "left").select("bucket", "t", "c", "n", F.coalesce("root", "c").alias("root"))
+    ready, bands = [], classes.select("c", "bands")
+    for depth in range(DEEP + 1):
+        # two members are one pair, which the star has tried
+        still = now.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).filter("r <> z AND k > 2" if depth == 0 else "r <> z").select("bucket", "k")
+        now = C.settle(now.join(still, "bucket"), "open")
+        ready.append(now.filter(F.col("k") <= FULL).drop("k"))
+        now = now.filter(F.col("k") > FULL)
+        if depth == DEEP or not now.limit(1).count():
+            break
+        other = F.explode(F.array(*[F.xxhash64("bucket", F.element_at("bands", (F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(BANDS)) + 1).cast("int"))) for j in range(SPLITS)]))
+        now = now.join(bands, "c").select(other.alias("bucket"), "t", "c", "n", "root").distinct()
+    if now.limit(1).count():
+        many = F.ceil(F.col("k") / FULL * 2)
+        of = now.withColumn("p", F.pmod(F.xxhash64("c"), many)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+        ready.append(of.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("bucket"), "t", "c", "n", "root").distinct())
+    parts = ready[0]
+    for more in ready[1:]:
+        parts = parts.union(more)
+    need = C.settle(parts.select("c", "n").distinct().join(classes.select("c", "doc_id"), "c"), "need")
+    if not need.limit(1).count():
+        return None
+    samples = C.settle(_sampled(docs.join(need, "doc_id").select("doc_id", "c", "n", "text")), "samples").dropDuplicates(["c"])
+    return _compared(parts.join(samples, "c"))
+
+
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, c) of every row with a doc_id, and (c, component_id) of the classes of several rows or with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -216,8 +351,8 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A class is a set; c names it. Its least document stands for it.
     classes = C.settle(full.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("many")), "classes")
     who = classes.select("c", "doc_id")
-    members = classes.select(F.explode("bands").alias("bucket"), "c", "n")
-    stars = C.settle(_starred(members, F.col("c")), "stars")
+    crowd = _crowded(classes.select(F.explode("bands").alias("bucket"), "c", "n"))
+    stars = C.settle(_starred(crowd), "stars")
     # First the centre with which a class shares most bands; the others only if they are not yet in one component.
     best = C.settle(stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
     label = joined(None, C.settle(_confirmed(best, who, docs), "links"))
@@ -225,19 +360,12 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = C.settle(_apart(tried.join(best, ["a", "b"], "left_anti"), label), "pairs")
     if rest.limit(1).count():
         label = joined(label, C.settle(_confirmed(rest, who, docs), "links"))
-    # Classes with a centre they turned out not to be linked with: there a link may hide behind the centre. Buckets of
-    # two bands each hold hardly any pair that is not linked; stars in these, with a centre drawn by lot, find it.
-    open_ends = _apart(tried, label)
-    open_ends = C.settle(open_ends.select(F.col("a").alias("c")).union(open_ends.select("b")).distinct(), "open")
-    near = C.settle(stars.join(open_ends.select(F.col("c").alias("b")), "b").select(F.col("a").alias("c")).union(open_ends).distinct(), "near")
-    if near.limit(1).count():
-        pair = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("bands")[i], F.col("bands")[(i + k) % BANDS]) for k in (1, 3, 7) for i in range(BANDS)]))
-        doubled = C.settle(classes.join(near, "c").select(pair.alias("bucket"), "c", "n"), "doubled")
-        for lot in range(LOTS):
-            more = _starred(doubled, F.xxhash64(F.lit(lot), "bucket", "c")).select("a", "b")
-            more = C.settle(_apart(more.join(tried, ["a", "b"], "left_anti"), label), "pairs")
-            if more.limit(1).count():
-                label = joined(label, C.settle(_confirmed(more, who, docs), "links"))
+    # Behind a centre a link of others may hide, also of members whose size does not allow a link with it.
+    more = _hidden(crowd, classes, label, docs)
+    if more is not None:
+        more = C.settle(more.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            label = joined(label, C.settle(_confirmed(more, who, docs), "links"))
     # Rows of one doc_id are one document, whatever their texts.
     several = C.settle(full.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("z")).filter("b <> z").select("doc_id", "b"), "several")
     if several.limit(1).count():

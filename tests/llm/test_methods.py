@@ -91,6 +91,27 @@ def test_components_against_all_pairs(spark, seed):
     assert got == components(texts)
 
 
+def family(rng, many, own, other):
+    """Texts that hold one passage: many with so much of their own, and the last two with less, which are linked."""
+    passage = prose(rng, 300)
+    texts = [passage + " " + " ".join(f"w{rng.random()}" for _ in range(own)) for _ in range(many)]
+    return list(enumerate(texts + [passage + " " + " ".join(f"w{rng.random()}" for _ in range(other)) for _ in range(2)]))
+
+
+def test_links_behind_centres_of_another_size(spark):
+    texts = family(random.Random(21), 150, 180, 43)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.rated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == components(texts) and got[151][1] == 150
+
+
+@pytest.mark.parametrize("full", [1024, 16])
+def test_links_among_many_neighbours(spark, monkeypatch, full):
+    monkeypatch.setattr(neardup, "FULL", full, raising=False)
+    texts = family(random.Random(22), 300, 143, 43)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.rated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == components(texts) and got[301][1] == 300
+
+
 def test_contraction(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)]
