@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items; Smith-Waterman alignment scores them.
 
-Test items are cut into segments of about SEGMENT words. The document frequency of every 3-gram of the segments is
+Test items are cut into segments of SEGMENT words that overlap by half. The document frequency of every 3-gram of the segments is
 counted over the whole corpus; in each window of WINDOW 3-grams of a segment (of at least LEAST windows, if it has so many) the
 rarest one is a seed, so that a seed stands every few words however often an item leaked: rarity ranks, it never drops. A hit of a seed in a document gives
 a window of words around the place, and the local alignment of segment and window (match +2, else -1) over words gives
@@ -29,14 +29,20 @@ N, SEGMENT, WINDOW, LEAST, THRESHOLD, MIN_MATCH, BLOCK_WORDS = 3, 64, 3, 8, 0.5,
 _BITS = 22
 
 
+def segments(h: np.ndarray) -> list[np.ndarray]:
+    """Words in runs of SEGMENT that overlap by half or more, so that each SEGMENT / 2 words together stand in one."""
+    spare = max(0, len(h) - SEGMENT)
+    n = -(-2 * spare // SEGMENT)
+    return [h[a : a + SEGMENT] for a in (spare * k // max(n, 1) for k in range(n + 1))]
+
+
 class Block:
     """Segments of some test items: words, 3-grams, and, once chosen, seeds."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]]) -> None:
         self.items, self.words = [], []
         for item, h in items:
-            pieces = max(1, round(len(h) / SEGMENT))
-            for part in np.array_split(h, pieces):
+            for part in segments(h):
                 if len(part) >= N:
                     self.items.append(item)
                     self.words.append(part)

@@ -166,6 +166,15 @@ def test_edited_copies_are_found_and_others_are_not(spark, words):
     assert sorted(r.doc_id for r in decontam.clean(d, b, words).collect()) == list(range(0, 60, 2))
 
 
+@pytest.mark.parametrize("n", [96, 128, 160, 200])
+def test_excerpts_across_segments_are_found(spark, n):
+    rng = random.Random(23)
+    item = prose(rng, n).split()
+    docs = [(a, " ".join([*prose(rng, 40).split(), *item[a : a + 34], *prose(rng, 40).split()])) for a in range(0, n - 33, 7)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.leaks(d, b).collect()) == [a for a, _ in docs]
+
+
 def test_shared_passages_stay_once(spark):
     rng = random.Random(6)
     line = lambda n: prose(rng, n)
