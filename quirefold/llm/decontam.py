@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items; Smith-Waterman alignment scores them.
 
 Test items are cut into segments of SEGMENT words that overlap by half. The document frequency of every 3-gram of the segments is
-counted over the whole corpus; in each window of WINDOW 3-grams of a segment (of at least LEAST windows, if it has so many) the
-rarest one is a seed, so that a seed stands every few words however often an item leaked: rarity ranks, it never drops. A hit of a seed in a document gives
+counted over the whole corpus; each 3-gram of a segment of fewer than SHORT words is a seed; of a longer one, in each window of WINDOW 3-grams the
+rarest (at least LEAST), so that a seed stands every few words however often an item leaked: rarity ranks, it never drops. A hit of a seed in a document gives
 a window of words around the place, and the local alignment of segment and window (match +2, else -1) over words gives
 the score: the share of the segment's best possible score. A document leaks an item if a segment scores at least
 THRESHOLD, with at least MIN_MATCH words' worth of score or the segment whole.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import bytewords as B
 
-N, SEGMENT, WINDOW, LEAST, THRESHOLD, MIN_MATCH, BLOCK_WORDS = 3, 64, 3, 8, 0.5, 8, 1 << 20
+N, SEGMENT, WINDOW, LEAST, SHORT, THRESHOLD, MIN_MATCH, BLOCK_WORDS = 3, 64, 3, 8, 40, 0.5, 8, 1 << 20
 _BITS = 22
 
 
@@ -54,7 +54,7 @@ class Block:
         keys, segs, places = [], [], []
         for s, g in enumerate(self.gram_of):
             c = counts[np.searchsorted(self.grams, g)]
-            n = max(len(g) // WINDOW, min(len(g), LEAST))
+            n = len(g) if len(self.words[s]) < SHORT else max(len(g) // WINDOW, LEAST)
             for part in np.array_split(np.arange(len(g)), n):
                 p = int(part[np.lexsort((g[part], c[part]))[0]])
                 keys.append(g[p]), segs.append(s), places.append(p)

@@ -175,6 +175,20 @@ def test_excerpts_across_segments_are_found(spark, n):
     assert sorted(r.doc_id for r in decontam.leaks(d, b).collect()) == [a for a, _ in docs]
 
 
+@pytest.mark.parametrize("n", [16, 32])
+def test_each_run_of_three_words_is_found(spark, n):
+    rng = random.Random(24)
+    item = [f"word{k}" for k in range(n)]
+    # one run of three words is whole and every other third word changed, wherever the run stands
+    docs = []
+    for a in range(n - 2):
+        new = [w if a <= k < a + 3 or (k - a) % 3 else "changed" for k, w in enumerate(item)]
+        docs.append((a, " ".join([*prose(rng, 20).split(), *new, *prose(rng, 20).split()])))
+    want = [a for a, text in docs if (best := aligned(item, text.split())) >= 16 and best >= n]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.leaks(d, b).collect()) == want and want
+
+
 def test_shared_passages_stay_once(spark):
     rng = random.Random(6)
     line = lambda n: prose(rng, n)
