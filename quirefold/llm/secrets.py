@@ -33,7 +33,10 @@ OTHER_WORDS = ("uuid", "guid", "sha", "md5", "commit", "hash", "checksum", "dige
 PLACE_WORDS = ("example", "sample", "dummy", "test", "changeme", "your", "xxx", "placeholder", "redacted", "todo", "here", "none", "null")
 # A small dictionary of frequent English words.
 DICTIONARY = frozenset("about above access account action active address after again against all also always amount and another any are area back base been before being below best between big body both box bring build but button buy call can card case change check child city class clear click close code color come common company config connect contact content copy could count country create current custom data date day default delete design detail device did different direct display document does done down each edit email end enter error even event ever every example family field file filter find first follow font for form found from full function game get give global good great group handler has have head help here high home house how image index info input instance into item just keep kind know label large last later left length less level life light like line link list little load local long look made main make manager many map market match may mean media member menu message method might mode model module money month more most move much must name near need network never new next node not note now number object off offer old only open option order other our out over own page part password path people place plan play point post power present price print private problem process product program project public put query question quick read real report request response result return right room root run same save say school search second section see select send server service session set should show side sign simple single site size small some son source space start state status step still stop store stream string style such summary support system table take task team test text than that the their them then there these they thing think this those through time title to token too top total tree true turn two type under unit until update upload use user value version very view want water way week well were what when where which while white who will window with word work world would write year yes you your zone".split())
-_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.DOTALL)
+_BEGIN = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
+# Lines of a block whose end is missing: headers of keys, and base64.
+_BODY = re.compile(rb"(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/]{40,}={0,2}(?![^\s\\\"'])))*")
 _CORE = re.compile(r"""^["'`({\[<]*(?:([A-Za-z_][\w.\-]*)["']?\s*(?::|=>|=)\s*)?["'`({\[<]*(.*?)["'`)}\]>,;.!?]*$""", re.DOTALL)
 _RUNS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+|[^a-zA-Z0-9]+")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
@@ -201,6 +204,14 @@ def trained(n: int = 4000, trees: int = 40, depth: int = 10, seed: int = 17) ->
     return Forest([_tree(x, y, draw, depth, 3) for _ in range(trees)])
 
 
+def key_blocks(text: bytes) -> Iterator[tuple[int, int]]:
+    """Start and end of the private keys of one text: to the END line before the next BEGIN, or to the last line of base64."""
+    heads = list(_BEGIN.finditer(text))
+    for m, upto in zip(heads, [*(h.start() for h in heads[1:]), len(text)]):
+        end = _END.search(text, m.end(), upto)
+        yield m.start(), end.end() if end else _BODY.match(text, m.end(), upto).end()
+
+
 def candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, str, str, str, str]]:
     """(row, first byte, last byte + 1, candidate, name, word before, word after) over rows of texts."""
     digit = np.zeros(256, np.int64)
@@ -224,9 +235,11 @@ def candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int
         known = [k for k in heads[np.isin(whole[s[heads]], np.frombuffer(b"AghxsreySnpGl\"'", np.uint8))] if raw[s[k] : s[k] + 4].lstrip(b"\"'")[:3] in prefixes]
         likely[known] = True
         word = lambda k: raw[s[k] : e[k]].decode("utf-8", "replace")
-        blocks = [(m.start(), m.end()) for m in _PEM.finditer(raw)] if b"-----BEGIN" in raw else []
-        for a, z in blocks:
-            yield i + int(np.searchsorted(at[i + 1 : j + 1] - lo, a, "right")), a + lo, z + lo, "", "private key", "", ""
+        blocks = []
+        for r in range(i, j) if b"-----BEGIN" in raw else ():
+            for a, z in key_blocks(raw[at[r] - lo : at[r + 1] - lo]):
+                blocks.append((a + int(at[r]) - lo, z + int(at[r]) - lo))
+                yield r, a + int(at[r]), z + int(at[r]), "", "private key", "", ""
         for k in np.flatnonzero(likely):
             if any(a <= s[k] < z for a, z in blocks):
                 continue
