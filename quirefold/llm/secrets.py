@@ -1,6 +1,6 @@
 """Secret scans: a random forest removes false positives from candidate strings.
 
-Candidates are words, or what stands in one after its last quote or assignment sign, that have known prefixes, or at
+Candidates are words, or each part of one between quotes, commas, semicolons, ampersands and assignment signs, that have known prefixes, or at
 least 12 bytes with two digits, or that follow an assignment to a name; and whole blocks of private keys. The forest
 judges each by its length, the transitions between kinds of characters, how much of it a dictionary covers, signs of a
 path, and the words next to it. It is trained here on labelled findings made by rule (`made_finding`), on the driver,
@@ -38,6 +38,10 @@ _END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
 # Lines of a block whose end is missing: headers of keys, and base64.
 _BODY = re.compile(rb"(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/]{40,}={0,2}(?![^\s\\\"'])))*")
 _CORE = re.compile(r"""^["'`({\[<]*(?:([A-Za-z_][\w.\-]*)["']?\s*(?::|=>|=)\s*)?["'`({\[<]*(.*?)["'`)}\]>,;.!?]*$""", re.DOTALL)
+# What is quoted, or stands between quotes, commas and semicolons; and in it an assignment to a name.
+_TOKEN = re.compile(r"""(["'`])(.*?)\1|[^"'`,;]+|.""", re.DOTALL)
+_QUERY = re.compile(r"[?&](?=[A-Za-z_][\w.\-]*=)")
+_NAMED = re.compile(r"""[({\[<]*([A-Za-z_][\w.\-]*)(?:=>|:=|=|:(?![/\\]))(?!=*\Z)""")
 _RUNS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+|[^a-zA-Z0-9]+")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 FEATURES = 26
@@ -204,6 +208,37 @@ def trained(n: int = 4000, trees: int = 40, depth: int = 10, seed: int = 17) ->
     return Forest([_tree(x, y, draw, depth, 3) for _ in range(trees)])
 
 
+def pieces(text: str) -> list[tuple[int, str, str]]:
+    """(place, piece, name) of the parts of a word between quotes, commas, semicolons, ampersands and assignment signs."""
+    out: list[tuple[int, str, str]] = []
+    name = quoted = ""
+    for m in _TOKEN.finditer(text):
+        if m[1]:
+            at, got = m.start(2), m[2]
+        else:
+            at, got = m.start(), m[0]
+            if quoted and got.lstrip().startswith(("=", ":")):
+                name, got = quoted, got.lstrip("=:>")
+                at = m.end() - len(got)
+        quoted = ""
+        cuts = [0, *(c.end() for c in _QUERY.finditer(got))] if not m[1] else [0]
+        for a, z in zip(cuts, [*(c - 1 for c in cuts[1:]), len(got)]):
+            part, own = got[a:z], name
+            while not m[1] and (n := _NAMED.match(part)):
+                if n[1].startswith(PREFIXES):
+                    out.append((at + a + n.start(1), n[1], own))
+                own, part, a = n[1], part[n.end() :], a + n.end()
+            core = part if m[1] else part.lstrip("({[<").rstrip(")}]>.!?")
+            if len(core) >= 8:
+                out.append((at + a + (0 if m[1] else len(part) - len(part.lstrip("({[<"))), core, own))
+        name = name if not got else ""
+        if m[1]:
+            name, quoted = "", m[2]
+        elif n := re.search(r"([A-Za-z_][\w.\-]*)(?:=>|:=|=|:)\Z", got):
+            name = n[1]
+    return [(a, c, o) for a, c, o in out if not (re.fullmatch(r"[A-Za-z_][\w.\-]*(?:=>|:=|=|:)", c) and text[a + len(c) : a + len(c) + 1] in tuple("\"'`"))]
+
+
 def key_blocks(text: bytes) -> Iterator[tuple[int, int]]:
     """Start and end of the private keys of one text: to the END line before the next BEGIN, or to the last line of base64."""
     heads = list(_BEGIN.finditer(text))
@@ -229,7 +264,7 @@ def candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int
         digits, size = count[e] - count[s], e - s
         ends_assigned = np.isin(whole[e - 1], np.frombuffer(b"=:", np.uint8))
         follows = np.concatenate(([False], ends_assigned[:-1] & (row[1:] == row[:-1])))
-        inner = np.concatenate(([0], np.cumsum(whole == ord("="))))
+        inner = np.concatenate(([0], np.cumsum((whole == ord("=")) | (whole == ord(":")) & (np.append(whole[1:], 0) != ord("/")))))
         likely = (size >= 12) & (digits >= 2) | follows & (size >= 8) | (size >= 10) & (inner[e] - inner[s] > 0)
         heads = np.flatnonzero(size >= 12)
         known = [k for k in heads[np.isin(whole[s[heads]], np.frombuffer(b"AghxsreySnpGl\"'", np.uint8))] if raw[s[k] : s[k] + 4].lstrip(b"\"'")[:3] in prefixes]
@@ -249,9 +284,14 @@ def candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int
             core = next((c for c in re.split("[\"'`]", core) if len(c) >= 8), core)
             if len(core) < 8:
                 continue
-            first = s[k] + len(text[: text.find(core)].encode())
+            found = {text.find(core): (core, (m[1] or "") if m else "")}
+            several = pieces(text)
+            if len(several) > 1:
+                found = {a: (c, name) for a, c, name in several if name or c.startswith(PREFIXES) or len(c) >= 12 and sum(x.isdigit() for x in c) >= 2}
             n = lambda d: word(k + d) if 0 <= k + d < len(s) and row[k + d] == row[k] else ""
-            yield i + int(row[k]), int(first) + lo, int(first) + len(core.encode()) + lo, core, (m[1] or "") if m else "", f"{n(-2)} {n(-1)}".strip(), n(1)
+            for a, (core, name) in found.items():
+                first = int(s[k]) + len(text[:a].encode()) + lo
+                yield i + int(row[k]), first, first + len(core.encode()), core, name, f"{n(-2)} {n(-1)}".strip(), n(1)
 
 
 def scanned(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
