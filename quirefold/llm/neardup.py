@@ -4,15 +4,18 @@ A document's set is its distinct 5-word shingles (fewer words: the whole sequenc
 Equal sets are one class, held once. One hash per shingle serves all bins: the top bits name the bin, the least hash in
 a bin is its value, and an empty bin takes the value of the first non-empty one in a fixed pseudo-random sequence of
 its own. Bands of 4 bins are buckets, each split by size so that two sizes that allow a link share a part. Within a part
-each class is first paired with one of them, the centre (a star). Pairs are confirmed on full sets, and links make
-components by repeated contraction.
+each class is paired with one of them, the centre (a star): first with the centre it shares most bands with, then with
+the others that are still in another component. Pairs are confirmed on full sets, and links make components by repeated
+contraction. Star pairs are at most two a band and class, whatever the size of a group.
 
 With 32 bands of 4, two sets of Jaccard 0.75 share no bucket with probability (1 - 0.75^4)^32 = 5e-6. A link may also
 hide behind a centre that is not like its ends, or whose size differs. So in each part that still holds several
-components all members in different ones are compared: by their whole sets (32-bit values) up to SAMPLE shingles, by
-samples of about so many beyond, less four standard errors. Parts of more than FULL members are first dealt by further
-bands (SPLITS each, at most DEEP times; a link of Jaccard 0.75 is parted from a bucket with probability 0.1 a time, and
-has about ten); what is large then is compared piece by piece. What is alike is confirmed on full sets as well.
+components the members outside the largest one are held against all others: by their whole sets (32-bit values) up to
+SAMPLE shingles, by samples of about so many beyond. A part is cut into pieces of FULL members; the few outside the
+largest component go to every piece. Where these are more than FULL themselves, the part is first dealt by further bands
+(SPLITS each, at most DEEP times; a link of Jaccard 0.75 is parted from a bucket with probability 0.1 a time, and has
+about ten). Of what is alike a piece gives the links that make a forest of its components, the most alike first; pairs
+of samples within four standard errors of 0.75 are given all. These too are confirmed on full sets.
 
 Nulls: a null text is empty; a null doc_id is linked with nothing and kept. Rows of one doc_id are one document: their
 sets each may link it, and they fare alike. The least doc_id of a component stays (ties cannot be). Shingles are held
@@ -33,8 +36,8 @@ from quirefold.llm import common as C
 
 BINS, ROWS, K, PERCENT = 128, 4, 5, 75
 BANDS = BINS // ROWS
-#: Values of a set that stand for it in comparisons; members of a bucket that are compared in full, and, of larger ones, how many
-#: further bands split each, so many times.
+#: Values of a set that stand for it in comparisons; members of a piece of a bucket; how many further bands split each bucket with
+#: more members outside its largest component, so many times.
 SAMPLE, FULL, SPLITS, DEEP = 512, 1024, 6, 3
 _SHIFT = np.uint64(64 - 7)
 
@@ -126,24 +129,34 @@ def _signed(of: DataFrame) -> DataFrame:
     return of.mapInArrow(run, schema)
 
 
+def _rate(t: int) -> int:
+    """Samples of the part t are the values below this: whole sets up to SAMPLE, else about so many of each."""
+    return min(1 << 32, int((1 << 32) * SAMPLE / (100 / PERCENT) ** t))
+
+
 def _sets(of: DataFrame) -> DataFrame:
-    """(c, s) of rows (doc_id, c, text): the full set of each row whose text is of class c."""
+    """(c, s, v) of rows (doc_id, c, text): the full set of each row whose text is of class c, and its sorted 32-bit values below the rate of its size."""
 
     def run(batches):
         for batch in batches:
-            want = batch.column(1).to_pylist()
-            cs, ss, held = [], [], 0
-            for w, s in zip(want, sorted_sets(batch.column(2))):
+            cs, ss, vs, held = [], [], [], 0
+
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ss, pa.list_(pa.int64())), pa.array(vs, pa.binary())], names=["c", "s", "v"])
+
+            for w, s in zip(batch.column(1).to_pylist(), sorted_sets(batch.column(2))):
                 if len(s) and set_hash(s)[0] == w:
-                    cs.append(w), ss.append(s.view(np.int64))
+                    v = np.sort(B.mix(s) >> np.uint64(32))
+                    v = v[v < _rate(math.floor(math.log(len(s)) / math.log(100 / PERCENT)))]
+                    cs.append(w), ss.append(s.view(np.int64)), vs.append(v.astype(np.uint32).tobytes())
                     held += len(s)
                 if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], names=["c", "s"])
-                    cs, ss, held = [], [], 0
+                    yield flush()
+                    cs, ss, vs, held = [], [], [], 0
             if cs:
-                yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], names=["c", "s"])
+                yield flush()
 
-    return of.mapInArrow(run, "c long, s array<long>")
+    return of.mapInArrow(run, "c long, s array<long>, v binary")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -171,91 +184,63 @@ def contracted(edges: DataFrame) -> DataFrame:
             return label
 
 
-def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """The components (v, root) once more links (a, b) are there: only what these touch is contracted, root by root."""
-    if label is None:
-        return contracted(links)
     if not links.limit(1).count():
         return label
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
-    base = C.settle(label.union(ends.join(label, "v", "left_anti").select("v", F.col("v").alias("root"))), "base")
-    root = lambda x: base.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
+    base = label.union(ends.join(label, "v", "left_anti").select("v", F.col("v").alias("root")))
+    at = ends.join(base, "v")
+    root = lambda x: at.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
     upper = contracted(links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     upper = upper.select(F.col("v").alias("root"), F.col("root").alias("top"))
     return C.settle(base.join(upper, "root", "left").select("v", F.coalesce("top", "root").alias("root")), "base")
 
 
-def _confirmed(pairs: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets are alike. who: (c, doc_id) of every class."""
-    ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    need = who.join(ends, "c").select("doc_id", "c")
-    sets = C.settle(_sets(docs.join(need, "doc_id").select("doc_id", "c", "text")), "sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes whose full sets are alike. sets: (c, s) of every class in a pair."""
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return two.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that are not yet in one component."""
-    of = lambda x: label.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+def _fits(a: str, b: str):
+    """Whether two sizes allow a link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _crowded(members: DataFrame) -> DataFrame:
-    """(bucket, t, c, n) of members (bucket, c, n): each bucket of several split by size.
+def _crowded(classes: DataFrame) -> DataFrame:
+    """(bucket, t, c, n, b, nb) of every class in each part of a bucket that it shares, with the part's centre b, the least c, and its size.
 
     A class of size class s, the whole part of log n to the base 100 / PERCENT, is in the parts t = s and s + 1, so that
     two sizes that allow a link share a part.
     """
-    shared = C.settle(members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"), "shared")
+    members = classes.select(F.explode("bands").alias("band"), "c", "n")
+    shared = C.settle(members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band"), "shared")
     s = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
-    parts = members.join(shared, "bucket").select("bucket", F.explode(F.array(s, s + 1)).alias("t"), "c", "n")
-    return C.settle(parts.select(F.xxhash64("bucket", "t").alias("bucket"), "t", "c", "n"), "crowd")
-
-
-def _fits(a: str, b: str):
-    """Whether two sizes allow a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
-def _starred(members: DataFrame) -> DataFrame:
-    """(a, b, bands) for members (bucket, c, n): each with the member of the bucket that has the least c, if their sizes allow a link."""
-    centre = members.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.count("*").alias("k")).filter("k > 1")
-    centre = C.settle(centre.select("bucket", F.col("m.c").alias("b"), F.col("m.n").alias("nb")), "centres")
-    pairs = members.join(centre, "bucket").filter(_fits("n", "nb") & (F.col("c") != F.col("b")))
-    return pairs.groupBy(F.col("c").alias("a"), "b").agg(F.count("*").alias("bands"))
-
-
-def _rate(t: int) -> int:
-    """Samples of the part t are the values below this: whole sets up to SAMPLE, else about so many of each."""
-    return min(1 << 32, int((1 << 32) * SAMPLE / (100 / PERCENT) ** t))
-
+    parts = members.join(shared, "band").select("band", F.explode(F.array(s, s + 1)).alias("t"), "c", "n")
+    parts = C.settle(parts.select(F.xxhash64("band", "t").alias("bucket"), "t", "c", "n"), "parts")
+    centre = parts.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+    return C.settle(parts.join(centre.select("bucket", F.col("m.c").alias("b"), F.col("m.n").alias("nb")), "bucket"), "crowd")
 
-def _sampled(of: DataFrame) -> DataFrame:
-    """(c, v) of rows (doc_id, c, n, text): the sorted 32-bit values of the set below the rate of its size class."""
 
-    def run(batches):
-        for batch in batches:
-            cs, vs, held = [], [], 0
-            for w, s in zip(batch.column(1).to_pylist(), sorted_sets(batch.column(3))):
-                if len(s) and set_hash(s)[0] == w:
-                    v = np.sort(B.mix(s) >> np.uint64(32))
-                    v = v[v < _rate(math.floor(math.log(len(s)) / math.log(100 / PERCENT)))]
-                    cs.append(w), vs.append(v.astype(np.uint32).tobytes())
-                    held += len(v)
-                if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(vs, pa.binary())], names=["c", "v"])
-                    cs, vs, held = [], [], 0
-            if cs:
-                yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(vs, pa.binary())], names=["c", "v"])
+def _held_sets(crowd: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, s, v) of every class in the crowd, once: the texts are shuffled one time, for all comparisons to come."""
+    need = crowd.select("c").distinct().join(classes.select("c", "doc_id"), "c").select("doc_id", "c")
+    sets = C.settle(_sets(docs.join(need, "doc_id").select("doc_id", "c", "text")), "sets")
+    if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # repeated rows
+        sets = C.settle(sets.dropDuplicates(["c"]), "sets")
+    return sets
 
-    return of.mapInArrow(run, "c long, v binary")
 
+def alike(c: np.ndarray, n: np.ndarray, root: np.ndarray, most: np.ndarray, own: np.ndarray, t: int, samples: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of one piece's members in different components that may be links, by samples.
 
-def alike(c: np.ndarray, n: np.ndarray, root: np.ndarray, t: int, samples: list[bytes]) -> list[tuple[int, int]]:
-    """Of one part's members all pairs in different components whose samples are alike, less four standard errors; of two components the most alike pair alone if samples are whole."""
+    Members outside the part's largest component (not `most`) are held against those the piece owns. Pairs that are alike
+    for sure (whole sets, or by four standard errors) come as a forest over the components, the most alike first; those
+    within four standard errors come all, unless the forest joins their components.
+    """
     whole = _rate(t) == 1 << 32
     values = [np.frombuffer(v, np.uint32) for v in samples]
     if not whole:
@@ -264,41 +249,53 @@ def alike(c: np.ndarray, n: np.ndarray, root: np.ndarray, t: int, samples: list[
     _, at = np.unique(np.concatenate(values), return_inverse=True)
     begin = np.concatenate(([0], np.cumsum(size)))
     mark = np.zeros(at.max(initial=0) + 1, np.int64)
-    heads, most = np.unique(root, return_counts=True)
-    major = heads[most.argmax()]  # of two members in different components one is not in the largest
-    out, best = [], {}
-    for i in np.flatnonzero(root != major):
+    sure, maybe = [], []
+    for i in np.flatnonzero(~most):
         mine = at[begin[i] : begin[i + 1]]
         mark[mine] = 1
         total = np.concatenate(([0], np.cumsum(mark[at])))
         mark[mine] = 0
         both = total[begin[1:]] - total[begin[:-1]]
         union = np.maximum(size[i] + size - both, 1)
-        least = PERCENT / 100 - (0.005 if whole else 4 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union))
-        ok = (root != root[i]) & (both >= least * union) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
-        for j in np.flatnonzero(ok):
-            pair = (int(min(c[i], c[j])), int(max(c[i], c[j])))
-            if whole and both[j] * 100 >= PERCENT * union[j]:
-                ends = min(root[i], root[j]), max(root[i], root[j])
-                best[ends] = max(best.get(ends, (0.0, pair)), (both[j] / union[j], pair))
-            else:
-                out.append(pair)
-    return sorted({*out, *(pair for _, pair in best.values())})
+        slack = 0 if whole else 4 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union)
+        near = own & (root != root[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
+        good = near & (both >= (PERCENT / 100 + slack) * union - 1e-9)
+        if good.any():
+            j = np.flatnonzero(good)
+            j = j[np.lexsort((-both[j] / union[j], root[j]))]
+            for k in j[np.concatenate(([True], root[j][1:] != root[j][:-1]))]:  # of each component the most alike
+                sure.append((-both[k] / union[k], int(min(c[i], c[k])), int(max(c[i], c[k])), int(root[i]), int(root[k])))
+        if not whole:
+            for k in np.flatnonzero(near & ~good & (both >= (PERCENT / 100 - slack) * union)):
+                maybe.append((int(min(c[i], c[k])), int(max(c[i], c[k])), int(root[i]), int(root[k])))
+    over: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := over.setdefault(v, v)) != v:
+            over[v] = v = over[up]
+        return v
+
+    out = set()
+    for _, a, b, x, y in sorted(sure):
+        if (x := find(x)) != (y := find(y)):
+            over[x] = y
+            out.add((a, b))
+    return sorted(out | {(a, b) for a, b, x, y in maybe if find(x) != find(y)})
 
 
 def _compared(parts: DataFrame) -> DataFrame:
-    """(a, b) of rows (bucket, t, c, n, root, v): in each bucket all pairs that may be links, by samples."""
+    """(a, b) of rows (bucket, t, c, n, root, most, own, v): of each bucket the pairs that may be links."""
 
     def run(batches):
         held: list[tuple] = []
 
         def found():
-            t, c, n, root = (np.array(x, np.int64) for x in list(zip(*held))[1:5])
-            pairs = alike(c, n, root, int(t[0]), [r[5] for r in held])
+            _, t, c, n, root, most, own, v = zip(*held)
+            pairs = alike(np.array(c), np.array(n), np.array(root), np.array(most), np.array(own), t[0], list(v))
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if held and row[0] != held[0][0]:
                     yield found()
                     held = []
@@ -306,66 +303,65 @@ def _compared(parts: DataFrame) -> DataFrame:
         if held:
             yield found()
 
-    sorted_parts = parts.select("bucket", "t", "c", "n", "root", "v").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    sorted_parts = parts.select("bucket", "t", "c", "n", "root", "most", "own", "v").repartition(F.col("bucket")).sortWithinPartitions("bucket")
     return sorted_parts.mapInArrow(run, "a long, b long").distinct()
 
 
-def _hidden(crowd: DataFrame, classes: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Candidate pairs (a, b) in the buckets that still hold several components; None if there are no such buckets.
+def _hidden(crowd: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Candidate pairs (a, b) in the parts that still hold several components; None if there are none.
 
-    Buckets of more than FULL members are dealt once more, by SPLITS further bands each, as long as that makes them
-    smaller; what is large after DEEP times is cut into parts, each compared with each.
+    Of each such part the members of its largest component are dealt to pieces of FULL; the others go to every piece. Parts
+    with more than FULL others are dealt once more, by SPLITS further bands each.
     """
-    root = label.select(F.col("v").alias("c"), "root")
-    now = crowd.join(root, "c", "left").select("bucket", "t", "c", "n", F.coalesce("root", "c").alias("root"))
-    ready, bands = [], classes.select("c", "bands")
+    now, ready = crowd.select("bucket", "t", "c", "n").join(label.select(F.col("v").alias("c"), "root"), "c"), []
     for depth in range(DEEP + 1):
+        each = now.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+        of = each.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("roots"))
         # two members are one pair, which the star has tried
-        still = now.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).filter("r <> z AND k > 2" if depth == 0 else "r <> z").select("bucket", "k")
-        now = C.settle(now.join(still, "bucket"), "open")
-        ready.append(now.filter(F.col("k") <= FULL).drop("k"))
-        now = now.filter(F.col("k") > FULL)
-        if depth == DEEP or not now.limit(1).count():
+        of = of.filter("roots > 1 AND k > 2" if depth == 0 else "roots > 1").select("bucket", "k", (F.col("k") - F.col("m.k")).alias("others"), F.col("m.root").alias("major"))
+        now = C.settle(now.join(of, "bucket"), "open")
+        wide = now.filter(F.col("others") > FULL)
+        deal = depth < DEEP and wide.limit(1).count() > 0
+        ready.append(now.filter(F.col("others") <= FULL) if deal else now)
+        if not deal:
             break
         other = F.explode(F.array(*[F.xxhash64("bucket", F.element_at("bands", (F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(BANDS)) + 1).cast("int"))) for j in range(SPLITS)]))
-        now = now.join(bands, "c").select(other.alias("bucket"), "t", "c", "n", "root").distinct()
-    if now.limit(1).count():
-        many = F.ceil(F.col("k") / FULL * 2)
-        of = now.withColumn("p", F.pmod(F.xxhash64("c"), many)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
-        ready.append(of.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("bucket"), "t", "c", "n", "root").distinct())
+        now = wide.join(classes.select("c", "bands"), "c").select(other.alias("bucket"), "t", "c", "n", "root").distinct()
     parts = ready[0]
     for more in ready[1:]:
         parts = parts.union(more)
-    need = C.settle(parts.select("c", "n").distinct().join(classes.select("c", "doc_id"), "c"), "need")
-    if not need.limit(1).count():
+    if not parts.limit(1).count():
         return None
-    samples = C.settle(_sampled(docs.join(need, "doc_id").select("doc_id", "c", "n", "text")), "samples").dropDuplicates(["c"])
-    return _compared(parts.join(samples, "c"))
+    pieces, most = F.ceil(F.col("k") / FULL), F.col("root") == F.col("major")
+    mine = F.pmod(F.xxhash64("c"), pieces)
+    dealt = parts.select("*", most.alias("most"), mine.alias("mine"), F.explode(F.when(most, F.array(mine)).otherwise(F.sequence(F.lit(0).cast("long"), pieces - 1))).alias("piece"))
+    dealt = dealt.select(F.xxhash64("bucket", "piece").alias("bucket"), "t", "c", "n", "root", "most", (F.col("mine") == F.col("piece")).alias("own"))
+    return _compared(dealt.join(sets.select("c", "v"), "c"))
 
 
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, c) of every row with a doc_id, and (c, component_id) of the classes of several rows or with links."""
+    """(doc_id, n, c) of every row with a doc_id, and (c, component_id) of the classes of several rows or that share a bucket."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = C.settle(_signed(docs.filter("doc_id IS NOT NULL")), "signed")
     full = rows.filter("n > 0")
     # A class is a set; c names it. Its least document stands for it.
     classes = C.settle(full.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("many")), "classes")
-    who = classes.select("c", "doc_id")
-    crowd = _crowded(classes.select(F.explode("bands").alias("bucket"), "c", "n"))
-    stars = C.settle(_starred(crowd), "stars")
-    # First the centre with which a class shares most bands; the others only if they are not yet in one component.
-    best = C.settle(stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
-    label = joined(None, C.settle(_confirmed(best, who, docs), "links"))
-    tried = stars.select("a", "b")
-    rest = C.settle(_apart(tried.join(best, ["a", "b"], "left_anti"), label), "pairs")
+    crowd = _crowded(classes)
+    sets = _held_sets(crowd, classes, docs)
+    label = sets.select(F.col("c").alias("v"), F.col("c").alias("root"))
+    # First the centre with which a class shares most bands; the others only where they are in another component by then.
+    pairs = crowd.filter(_fits("n", "nb") & (F.col("c") != F.col("b"))).groupBy(F.col("c").alias("a"), "b").agg(F.count("*").alias("bands"))
+    stars = C.settle(pairs.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("m"), F.collect_list("b").alias("bs")).select("a", F.col("m.b").alias("best"), "bs"), "stars")
+    label = joined(label, C.settle(_confirmed(stars.select("a", F.col("best").alias("b")), sets), "links"))
+    rooted = stars.join(label.withColumnRenamed("v", "a"), "a").select("a", F.col("root").alias("root_a"), F.explode(F.array_remove("bs", F.col("best"))).alias("b"))
+    at = label.select(F.col("v"), F.col("root").alias("root_b"))
+    rest = C.settle(rooted.join(at, (F.col("b") == F.col("v")) & (F.col("root_a") != F.col("root_b"))).select("a", "b"), "pairs")
     if rest.limit(1).count():
-        label = joined(label, C.settle(_confirmed(rest, who, docs), "links"))
+        label = joined(label, C.settle(_confirmed(rest, sets), "links"))
     # Behind a centre a link of others may hide, also of members whose size does not allow a link with it.
-    more = _hidden(crowd, classes, label, docs)
+    more = _hidden(crowd, classes, label, sets)
     if more is not None:
-        more = C.settle(more.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            label = joined(label, C.settle(_confirmed(more, who, docs), "links"))
+        label = joined(label, C.settle(_confirmed(C.settle(more, "pairs"), sets), "links"))
     # Rows of one doc_id are one document, whatever their texts.
     several = C.settle(full.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("z")).filter("b <> z").select("doc_id", "b"), "several")
     if several.limit(1).count():

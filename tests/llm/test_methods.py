@@ -112,6 +112,58 @@ def test_links_among_many_neighbours(spark, monkeypatch, full):
     assert got == components(texts) and got[301][1] == 300
 
 
+def edited_copies(rng, many, words=30, edits=1):
+    """Copies of one text, each with words of its own in some places: near copies, of which many pairs are links and many are not."""
+    base = prose(rng, words).split()
+    texts = []
+    for k in range(many):
+        new = list(base)
+        for j in range(edits):
+            new[rng.randrange(len(new))] = f"own{k}x{j}"
+        texts.append((k, " ".join(new)))
+    return texts
+
+
+def test_pairs_grow_with_members_not_their_square(spark, monkeypatch):
+    confirm, per_member = neardup._confirmed, []
+    for many in (200, 800):
+        texts, pairs = edited_copies(random.Random(25), many), []
+        monkeypatch.setattr(neardup, "_confirmed", lambda p, sets: (pairs.append(p.count()), confirm(p, sets))[1])
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.rated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert got == components(texts)
+        per_member.append(sum(pairs) / many)
+    assert per_member[1] < 1.5 * per_member[0]
+
+
+def test_forest_of_a_piece():
+    """The kernel against all pairs of small sets: the same components, and no more links than a forest has."""
+    rng = np.random.default_rng(26)
+    base = rng.integers(0, 1 << 32, 60, np.uint32)
+    sets = [np.unique(np.concatenate([base[rng.permutation(60)[: rng.integers(45, 60)]], rng.integers(0, 1 << 32, rng.integers(0, 15), np.uint32)])) for _ in range(60)]
+    n, c = np.array([len(s) for s in sets]), np.arange(60) + 100
+    own = np.ones(60, bool)
+    got = neardup.alike(c, n, c, c == 100, own, 0, [s.tobytes() for s in sets])
+    root = list(range(60))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (n[i] + n[j] - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want, links = [find(k) for k in range(60)], len(got)
+    root = list(range(60))
+    for a, b in got:
+        a, b = find(a - 100), find(b - 100)
+        assert a != b
+        root[max(a, b)] = min(a, b)
+    assert [find(k) for k in range(60)] == want and links == 60 - len(set(want)) and len(set(want)) < 50
+
+
 def test_contraction(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)]
