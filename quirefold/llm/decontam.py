@@ -1,17 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items; Smith-Waterman alignment scores them.
 
 Test items are cut into segments of SEGMENT words that overlap by half. The document frequency of every 3-gram of the segments is
-counted over the whole corpus; each 3-gram of a segment of fewer than SHORT words is a seed; of a longer one, in each window of WINDOW 3-grams the
-rarest (at least LEAST), so that a seed stands every few words however often an item leaked: rarity ranks, it never drops. A hit of a seed in a document gives
-a window of words around the place, and the local alignment of segment and window (match +2, else -1) over words gives
+counted over the whole corpus; each 3-gram of a segment of fewer than SHORT words is a seed; of a longer one, in each
+window of WINDOW 3-grams (at least LEAST windows) the rarest of those that occur at all, since what occurs nowhere can
+hit nothing: a seed stands every few words however often an item leaked. A hit of a seed in a document gives a window of words around the place, and the local alignment of segment and window (match +2, else -1) over words gives
 the score: the share of the segment's best possible score. A document leaks an item if a segment scores at least
 THRESHOLD, with at least MIN_MATCH words' worth of score or the segment whole.
 
 The items come to the executors in blocks of at most BLOCK_WORDS words, each block with its own pass; the driver holds
 one block and its seeds. Documents are worked on whole, where they are read.
 
-Nulls: a null text matches nothing; null ids are carried. Items of fewer than 3 words are not told from ordinary use
-and match nothing. Repeated rows of one doc_id give one row per item, the best. Ties go to the first place.
+Nulls: a null text matches nothing; null ids are carried. An item of one or two words is leaked by a document that
+consists of these words alone: within other text they are not told from ordinary use. Items with the same words are one,
+named by the least of their ids. Repeated rows of one doc_id give one row per item, the best. Ties go to the first place.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import bytewords as B
+from quirefold.llm import common as C
 
 N, SEGMENT, WINDOW, LEAST, SHORT, THRESHOLD, MIN_MATCH, BLOCK_WORDS = 3, 64, 3, 8, 40, 0.5, 8, 1 << 20
 _BITS = 22
@@ -43,7 +45,7 @@ class Block:
         self.items, self.words = [], []
         for item, h in items:
             for part in segments(h):
-                if len(part) >= N:
+                if len(part):
                     self.items.append(item)
                     self.words.append(part)
         grams = [B.shingles(w, np.zeros(len(w), np.int64), 1, N)[0] for w in self.words]
@@ -54,10 +56,12 @@ class Block:
         keys, segs, places = [], [], []
         for s, g in enumerate(self.gram_of):
             c = counts[np.searchsorted(self.grams, g)]
+            rank = np.where(c > 0, c, np.iinfo(np.int64).max)
             n = len(g) if len(self.words[s]) < SHORT else max(len(g) // WINDOW, LEAST)
             for part in np.array_split(np.arange(len(g)), n):
-                p = int(part[np.lexsort((g[part], c[part]))[0]])
-                keys.append(g[p]), segs.append(s), places.append(p)
+                p = int(part[np.lexsort((g[part], rank[part]))[0]])
+                if c[p]:
+                    keys.append(g[p]), segs.append(s), places.append(p)
         return Seeds(self, np.array(keys, np.uint64), np.array(segs, np.int64), np.array(places, np.int64))
 
 
@@ -83,6 +87,7 @@ class Seeds:
         order = np.argsort(keys, kind="stable")
         self.keys, self.segs, self.places = keys[order], segs[order], places[order]
         self.words, self.items = block.words, block.items
+        self.length = np.array([len(w) for w in self.words], np.int64)
         self.lookup = Lookup(self.keys)
 
     def hits(self, h: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple[int, int, float, int, int]]:
@@ -94,26 +99,25 @@ class Seeds:
         if not len(place):
             return []
         r = np.searchsorted(first, place, "right") - 1
-        ok = counts[r] >= N
-        place, key, r = place[ok], key[ok], r[ok]
         upto = np.searchsorted(self.keys, self.keys[key], "right")
         many = upto - key
         each = np.repeat(np.arange(len(key)), many)
         seed = np.repeat(key, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         seg, diagonal = self.segs[seed], (place - first[r])[each] - self.places[seed]
-        length = np.array([len(w) for w in self.words])[seg]
-        half = np.maximum(length // 2, 4)
+        # a text of fewer than N words has one key, of all its words: it equals the item
+        short = counts[r][each] < N
+        out = [(int(a), int(s), 1.0, 0, int(counts[a]) - 1) for a, s in zip(r[each][short], seg[short]) if self.length[s] == counts[a]]
+        each, seg, diagonal = each[~short], seg[~short], diagonal[~short]
+        half = np.maximum(self.length[seg] // 2, 4)
         bins = np.floor_divide(diagonal, half)
         jobs = np.unique(np.stack([r[each], seg, bins], axis=1), axis=0)
-        out = []
-        length = np.array([len(w) for w in self.words])[jobs[:, 1]]
-        jobs = jobs[np.argsort(length, kind="stable")]
+        jobs = jobs[np.argsort(self.length[jobs[:, 1]], kind="stable")]
         for a in range(0, len(jobs), 512):
             out += self._align(jobs[a : a + 512], h, begin, counts)
         return out
 
     def _align(self, jobs: np.ndarray, h: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-        length = np.array([len(self.words[s]) for s in jobs[:, 1]])
+        length = self.length[jobs[:, 1]]
         half = np.maximum(length // 2, 4)
         slack = half
         lo = np.clip(jobs[:, 2] * half - slack, 0, counts[jobs[:, 0]])
@@ -153,10 +157,17 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndar
     return best, end
 
 
+def distinct_items(items: DataFrame) -> DataFrame:
+    """(item_id, text) of items (item_id, text): those with the same words once, by the least of their ids."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.array_join(C.words(F.translate(F.col("text").cast("string"), upper, upper.lower())), " ")
+    return items.select("item_id", words.alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
+
+
 def blocks(items: DataFrame, words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The test items (item_id, text) in blocks of at most so many words (or one item), one at a time on the driver."""
+    """The distinct test items in blocks of at most so many words (or one item), one at a time on the driver."""
     held, size = [], 0
-    for item, text in items.select("item_id", F.col("text").cast("string")).toLocalIterator():
+    for item, text in distinct_items(items).toLocalIterator():
         data, at = B.arrow_bytes(pa.array([text], pa.string()))
         h, _ = B.hashed_words(data, at, 0, 1)
         if held and size + len(h) > words:
@@ -205,7 +216,7 @@ def _of_batch(texts: pa.Array, found: Seeds) -> Iterator[tuple[int, int, float,
 
 
 def leaks(docs: DataFrame, items: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word of each document and item it leaks."""
+    """doc_id, item_id, score, first_word, last_word of each document and distinct item it leaks (see distinct_items)."""
     of, item_type = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.schema["item_id"].dataType
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, score double, first_word long, last_word long"
     parts = []

@@ -6,8 +6,8 @@ top grade, selects them. Grades come from the labels: 0 toxic, 1 poor, 2 good an
 of a word, of the first 4 or 6 bytes of a word, or of a step of a measure of the text (share of signs, of upper case,
 of repeated words, length); hashes name the weights.
 
-The fit is on the driver, on at most FIT_ROWS labelled rows, those with the least hash of doc_id; scoring covers every
-document, whole, where it is read.
+The fit is on the driver, on at most FIT_ROWS labelled rows with at most FIT_FEATURES features (8 bytes each) together,
+those with the least hash of doc_id; scoring covers every document, whole, where it is read.
 
 Nulls: a null text has no words; labels without a doc_id or a quality are not fitted on (a null toxic counts as 0).
 Repeated labels of one document count as often as they stand. Without labels the weights are 0, and every document is
@@ -24,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import bytewords as B
+from quirefold.llm import common as C
 
 BITS, HEADS, GRADES, FIT_ROWS, KEEP, WHOLE, MARK = 18, (4, 6), 3, 12_000, 0.5, 0.1, 10.0
+#: Features of the fit sample, 128 MB; the row that would pass the bound and those after it in order of the hash stay out.
+FIT_FEATURES = 1 << 24
 _BREAK = np.zeros(0, np.int64)
 
 
@@ -108,21 +111,30 @@ def _each(batch_text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield features(data, int(at[i]), int(at[i + 1]))
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal:
-    """Fitted on the labelled documents with the least hash of doc_id, fit_rows labels at most; only these are brought to the driver."""
+def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Ordinal:
+    """Fitted on the labelled documents with the least hash of doc_id, fit_rows labels and fit_features features at most; only these are brought to the driver."""
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
     rated = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("_id"), F.when(toxic, 0).when(F.col("quality") <= 0, 1).otherwise(2).alias("_grade"))
     some = F.broadcast(rated.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(fit_rows))  # bounded by fit_rows
-    of = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(some, F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text")
+    of = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(some, F.col("doc_id") == F.col("_id")).select(F.xxhash64("_id").alias("h"), F.col("_id").cast("long").alias("id"), "_grade", "text")
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                xs, vs = zip(*((x.astype(np.int32), v) for x, v in _each(part.column(2))))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array(xs, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32()))], names=["id", "grade", "x", "v"])
-
-    got = of.mapInArrow(run, "id long, grade int, x array<int>, v array<float>").toArrow().combine_chunks().sort_by([("id", "ascending"), ("grade", "ascending")])
+                xs, vs = zip(*((x.astype(np.int32), v) for x, v in _each(part.column(3))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2).cast(pa.int32()), pa.array(list(map(len, xs)), pa.int32()), pa.array(xs, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32()))], names=["h", "id", "grade", "m", "x", "v"])
+
+    made = C.settle(of.mapInArrow(run, "h long, id long, grade int, m int, x array<int>, v array<float>"), "features")
+    # numbers only; of rows with the key of the first one that is out, all are out
+    keys = ("h", "id", "grade")
+    sizes = made.select(*keys, "m").orderBy(*keys).limit(fit_rows + 1).toArrow()
+    upto = np.cumsum(sizes["m"].to_numpy()) if sizes.num_rows else np.zeros(0, np.int64)
+    n = min(int(np.searchsorted(upto, fit_features, "right")), fit_rows)
+    if n < sizes.num_rows:
+        h, i, g = (sizes[c][n].as_py() for c in keys)
+        made = made.filter((F.col("h") < h) | ((F.col("h") == h) & ((F.col("id") < i) | ((F.col("id") == i) & (F.col("grade") < g)))))
+    got = made.select("id", "grade", "x", "v").toArrow().combine_chunks().sort_by([("id", "ascending"), ("grade", "ascending")])
     if not got.num_rows:
         return Ordinal()
     xs = [(np.asarray(x.values), np.asarray(v.values)) for x, v in zip(got["x"], got["v"])]

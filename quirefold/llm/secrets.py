@@ -1,8 +1,8 @@
 """Secret scans: a random forest removes false positives from candidate strings.
 
 Candidates are words, or each part of one between quotes, commas, semicolons, ampersands and assignment signs, that have known prefixes, or at
-least 12 bytes with two digits, or that follow an assignment to a name; and whole blocks of private keys. The forest
-judges each by its length, the transitions between kinds of characters, how much of it a dictionary covers, signs of a
+least 12 bytes with two digits, or that follow an assignment to a name; and blocks of private keys, of which the body is
+the candidate. The forest judges each by its length, the transitions between kinds of characters, how much of it a dictionary covers, signs of a
 path, and the words next to it. It is trained here on labelled findings made by rule (`made_finding`), on the driver,
 once per process; its nodes (some thousand numbers) go to the executors.
 
@@ -12,7 +12,6 @@ points. Texts are scanned whole.
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections.abc import Iterator
@@ -37,14 +36,14 @@ _BEGIN = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
 # Lines of a block whose end is missing: headers of keys, and base64.
 _BODY = re.compile(rb"(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/]{40,}={0,2}(?![^\s\\\"'])))*")
-_CORE = re.compile(r"""^["'`({\[<]*(?:([A-Za-z_][\w.\-]*)["']?\s*(?::|=>|=)\s*)?["'`({\[<]*(.*?)["'`)}\]>,;.!?]*$""", re.DOTALL)
+_HEAD = re.compile(r"""["'`({\[<]*(?:([A-Za-z_][\w.\-]*)["']?(?::|=>|=))?["'`({\[<]*""")
 # What is quoted, or stands between quotes, commas and semicolons; and in it an assignment to a name.
 _TOKEN = re.compile(r"""(["'`])(.*?)\1|[^"'`,;]+|.""", re.DOTALL)
 _QUERY = re.compile(r"[?&](?=[A-Za-z_][\w.\-]*=)")
 _NAMED = re.compile(r"""[({\[<]*([A-Za-z_][\w.\-]*)(?:=>|:=|=|:(?![/\\]))(?!=*\Z)""")
-_RUNS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+|[^a-zA-Z0-9]+")
+_TAIL, _LETTER = re.compile(r"[\w.\-]*"), re.compile("[A-Za-z_]")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
-FEATURES = 26
+KEY_BLOCK = "private key block"
 
 
 def covered(word: str) -> float:
@@ -62,22 +61,55 @@ def covered(word: str) -> float:
     return got / total if total else 0.0
 
 
+_ASCII = np.full(128, 3, np.int64)
+_ASCII[97:123], _ASCII[65:91], _ASCII[48:58] = 0, 1, 2
+
+
+def described_all(found: list[tuple[str, str, str, str]]) -> np.ndarray:
+    """Features of candidates (text, name, words before, words after), a row each; characters are counted over all of them at once."""
+    cores = [c for c, *_ in found]
+    n = np.array([len(c) for c in cores], np.int64)
+    at = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row, rows = np.repeat(np.arange(len(n)), n), len(n)
+    plain = at < 128
+    ascii_kind = np.where(plain, _ASCII[np.minimum(at, 127)], 3)
+    kind = ascii_kind.copy()
+    for p in np.unique(at[~plain]).tolist():
+        c = chr(p)
+        kind[at == p] = 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    count = lambda where: np.bincount(row[where], minlength=rows)
+    within = np.concatenate(([False], row[1:] == row[:-1])) if len(row) else np.zeros(0, bool)
+    changed = within & np.concatenate(([False], kind[1:] != kind[:-1])) if len(row) else within
+    share = [count(kind == k) / n for k in range(4)]
+    into = [count(changed & (kind == k)) / n for k in range(3)]
+    # how often each character of a candidate stands in it
+    _, times = np.unique(row << 21 | at, return_counts=True)
+    owner = np.unique(row << 21 | at) >> 21
+    entropy = -np.bincount(owner, times / n[owner] * np.log2(times / n[owner]), rows)
+    distinct = np.bincount(owner, minlength=rows)
+    # runs: lower case after its capital or not, digits, all else; a capital always begins one
+    before = np.concatenate(([0], ascii_kind[:-1])) if len(row) else ascii_kind
+    goes_on = within & ((ascii_kind == 0) & (before <= 1) | (ascii_kind >= 2) & (before == ascii_kind))
+    begins = np.flatnonzero(~goes_on)
+    sizes = np.diff(np.append(begins, len(row)))
+    longest = np.zeros(rows, np.int64)
+    np.maximum.at(longest, row[begins], sizes)
+    mean = n / np.maximum(count(begins), 1)
+    sign = lambda c: count(at == ord(c))
+    told = []
+    for core, name, prior, after in found:
+        near, low = f"{name} {prior}".lower(), core.lower()
+        told.append((covered(core), bool(_HEX.match(core)), core.startswith(PREFIXES), "://" in core or core.startswith("www."), any(w in near for w in SECRET_WORDS), any(w in near for w in OTHER_WORDS), any(w in low or w in near or w in after.lower() for w in PLACE_WORDS)))
+    cover, is_hex, known, url, secret, other, place = np.array(told, float).T if told else np.zeros((7, 0))
+    return np.stack([
+        n, np.log2(n + 1), *share, count(changed) / n, *into, entropy, entropy / np.log2(n + 1), longest, mean,
+        cover, is_hex, known, sign("-"), sign("/") + sign("\\"), url, sign("."), sign("@") > 0, secret, other, place, distinct / n,
+    ], axis=1).astype(float)
+
+
 def described(core: str, name: str, before: str, after: str) -> list[float]:
-    """Features of a candidate with the name it is assigned to and the words next to it."""
-    n = len(core)
-    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in core]
-    share = [kinds.count(k) / n for k in range(4)]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    into = [sum(a != b and b == k for a, b in zip(kinds, kinds[1:])) / n for k in (0, 1, 2)]
-    counts = [core.count(c) for c in set(core)]
-    entropy = -sum(c / n * math.log2(c / n) for c in counts)
-    runs = [len(r) for r in _RUNS.findall(core)]
-    near, low = f"{name} {before}".lower(), core.lower()
-    return [
-        n, math.log2(n + 1), *share, turns / n, *into, entropy, entropy / math.log2(n + 1), max(runs), sum(runs) / len(runs),
-        covered(core), bool(_HEX.match(core)), core.startswith(PREFIXES), core.count("-"), core.count("/") + core.count("\\"), "://" in core or core.startswith("www."), core.count("."), "@" in core,
-        any(w in near for w in SECRET_WORDS), any(w in near for w in OTHER_WORDS), any(w in low or w in near or w in after.lower() for w in PLACE_WORDS), len(set(core)) / n,
-    ]
+    """Features of one candidate."""
+    return described_all([(core, name, before, after)])[0].tolist()
 
 
 class Forest:
@@ -143,6 +175,11 @@ def made_finding(rng: random.Random) -> tuple[str, str, str, str, bool]:
     words = sorted(DICTIONARY)
     join = lambda k, sep: sep.join(rng.choice(words) for _ in range(k))
     name = ""
+    if rng.random() < 0.06:
+        lines = lambda: "\n".join(pick(alnum + "+/", 64, 64) for _ in range(rng.randint(0, 24)))
+        if rng.random() < 0.6:
+            return f"{lines()}\n{pick(alnum + '+/', 4, 64)}".strip(), KEY_BLOCK, "", "", True
+        return rng.choice(["-", "...", "…", "[...]", "<key>", "<redacted>", "xxxxxxxx", "XXXX XXXX", "your key here", "paste the private key here", "example", f"{prose()} {prose()} {prose()}"]), KEY_BLOCK, "", "", False
     if rng.random() < 0.5:
         kind = rng.randrange(6)
         core = (
@@ -202,12 +239,22 @@ def trained(n: int = 4000, trees: int = 40, depth: int = 10, seed: int = 17) ->
     """The forest, grown on so many made findings."""
     rng = random.Random(seed)
     made = [made_finding(rng) for _ in range(n)]
-    x = np.array([described(c, name, b, a) for c, name, b, a, _ in made], float)
+    x = described_all([m[:-1] for m in made])
     y = np.array([float(m[-1]) for m in made])
     draw = np.random.default_rng(seed)
     return Forest([_tree(x, y, draw, depth, 3) for _ in range(trees)])
 
 
+def _assigned_at_end(text: str) -> str:
+    """The name in "...name=" (or =>, :=, :) at the very end; '' if there is none. Read from the end, so in linear time."""
+    op = next((o for o in ("=>", ":=", "=", ":") if text.endswith(o)), "")
+    if not op:
+        return ""
+    run = _TAIL.match(text[: -len(op)][::-1])[0][::-1]
+    first = _LETTER.search(run)
+    return run[first.start() :] if first else ""
+
+
 def pieces(text: str) -> list[tuple[int, str, str]]:
     """(place, piece, name) of the parts of a word between quotes, commas, semicolons, ampersands and assignment signs."""
     out: list[tuple[int, str, str]] = []
@@ -223,32 +270,34 @@ def pieces(text: str) -> list[tuple[int, str, str]]:
         quoted = ""
         cuts = [0, *(c.end() for c in _QUERY.finditer(got))] if not m[1] else [0]
         for a, z in zip(cuts, [*(c - 1 for c in cuts[1:]), len(got)]):
-            part, own = got[a:z], name
-            while not m[1] and (n := _NAMED.match(part)):
+            part, own, pos = got[a:z], name, 0
+            while not m[1] and (n := _NAMED.match(part, pos)):
                 if n[1].startswith(PREFIXES):
                     out.append((at + a + n.start(1), n[1], own))
-                own, part, a = n[1], part[n.end() :], a + n.end()
+                own, pos = n[1], n.end()
+            part, a = part[pos:], a + pos
             core = part if m[1] else part.lstrip("({[<").rstrip(")}]>.!?")
             if len(core) >= 8:
                 out.append((at + a + (0 if m[1] else len(part) - len(part.lstrip("({[<"))), core, own))
         name = name if not got else ""
         if m[1]:
             name, quoted = "", m[2]
-        elif n := re.search(r"([A-Za-z_][\w.\-]*)(?:=>|:=|=|:)\Z", got):
-            name = n[1]
+        elif n := _assigned_at_end(got):
+            name = n
     return [(a, c, o) for a, c, o in out if not (re.fullmatch(r"[A-Za-z_][\w.\-]*(?:=>|:=|=|:)", c) and text[a + len(c) : a + len(c) + 1] in tuple("\"'`"))]
 
 
-def key_blocks(text: bytes) -> Iterator[tuple[int, int]]:
-    """Start and end of the private keys of one text: to the END line before the next BEGIN, or to the last line of base64."""
+def key_blocks(text: bytes) -> Iterator[tuple[int, int, str]]:
+    """Start and end of the private keys of one text, and what stands in them ("-" if nothing): to the END line before the next BEGIN, or to the last line of base64."""
     heads = list(_BEGIN.finditer(text))
     for m, upto in zip(heads, [*(h.start() for h in heads[1:]), len(text)]):
         end = _END.search(text, m.end(), upto)
-        yield m.start(), end.end() if end else _BODY.match(text, m.end(), upto).end()
+        stop = end.start() if end else _BODY.match(text, m.end(), upto).end()
+        yield m.start(), end.end() if end else stop, text[m.end() : stop].decode("utf-8", "replace").strip() or "-"
 
 
 def candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, str, str, str, str]]:
-    """(row, first byte, last byte + 1, candidate, name, word before, word after) over rows of texts."""
+    """(row, first byte, last byte + 1, candidate, name, word before, word after) over rows of texts; of a key block the candidate is its body, and the name KEY_BLOCK."""
     digit = np.zeros(256, np.int64)
     digit[48:58] = 1
     prefixes = {p.encode()[:3] for p in PREFIXES}
@@ -270,21 +319,19 @@ def candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int
         known = [k for k in heads[np.isin(whole[s[heads]], np.frombuffer(b"AghxsreySnpGl\"'", np.uint8))] if raw[s[k] : s[k] + 4].lstrip(b"\"'")[:3] in prefixes]
         likely[known] = True
         word = lambda k: raw[s[k] : e[k]].decode("utf-8", "replace")
-        blocks = []
+        inside = np.zeros(len(s), bool)
         for r in range(i, j) if b"-----BEGIN" in raw else ():
-            for a, z in key_blocks(raw[at[r] - lo : at[r + 1] - lo]):
-                blocks.append((a + int(at[r]) - lo, z + int(at[r]) - lo))
-                yield r, a + int(at[r]), z + int(at[r]), "", "private key", "", ""
-        for k in np.flatnonzero(likely):
-            if any(a <= s[k] < z for a, z in blocks):
-                continue
+            for a, z, body in key_blocks(raw[at[r] - lo : at[r + 1] - lo]):
+                inside[np.searchsorted(s, a + at[r] - lo) : np.searchsorted(s, z + at[r] - lo)] = True
+                yield r, a + int(at[r]), z + int(at[r]), body, KEY_BLOCK, "", ""
+        for k in np.flatnonzero(likely & ~inside):
             text = word(k)
-            m = _CORE.match(text)
-            core = m[2] if m and m[2] else text
+            m = _HEAD.match(text)
+            core = text[m.end() :].rstrip("\"'`)}]>,;.!?") or text
             core = next((c for c in re.split("[\"'`]", core) if len(c) >= 8), core)
             if len(core) < 8:
                 continue
-            found = {text.find(core): (core, (m[1] or "") if m else "")}
+            found = {text.find(core): (core, m[1] or "")}
             several = pieces(text)
             if len(several) > 1:
                 found = {a: (c, name) for a, c, name in several if name or c.startswith(PREFIXES) or len(c) >= 12 and sum(x.isdigit() for x in c) >= 2}
@@ -303,14 +350,14 @@ def scanned(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             data, at = B.arrow_bytes(batch.column(1))
             found = list(candidates(data, at))
+            # code points before each byte of the batch
+            upto = np.concatenate(([0], np.cumsum((data[int(at[0]) : int(at[-1])] & 0xC0) != 0x80)))
             for k in range(0, len(found), 4096):
                 some = found[k : k + 4096]
-                x = np.array([described(c or "-", name, b, a) for _, _, _, c, name, b, a in some], float)
-                p = np.where([c == "" for _, _, _, c, *_ in some], 1.0, forest(x))
-                chars = lambda r, z: len(data[int(at[r]) : z].tobytes().decode("utf-8", "replace"))
-                start = [chars(r, a) for r, a, *_ in some]
-                stop = [chars(r, z) for r, _, z, *_ in some]
-                kind = ["private_key" if not c else "known_prefix" if c.startswith(PREFIXES) else "assigned" if name or b.endswith(("=", ":")) else "string" for _, _, _, c, name, b, _ in some]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, *_ in some])), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(kind), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "start", "stop", "kind", "probability", "is_secret"])
+                p = forest(described_all([x[3:] for x in some]))
+                r, a, z = (np.array(c, np.int64) for c in list(zip(*some))[:3])
+                start, stop = (upto[x - at[0]] - upto[at[r] - at[0]] for x in (a, z))
+                kind = ["private_key" if name == KEY_BLOCK else "known_prefix" if c.startswith(PREFIXES) else "assigned" if name or b.endswith(("=", ":")) else "string" for _, _, _, c, name, b, _ in some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(kind), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "start", "stop", "kind", "probability", "is_secret"])
 
     return of.mapInArrow(run, f"doc_id {of.schema['doc_id'].dataType.simpleString()}, start long, stop long, kind string, probability double, is_secret boolean")
