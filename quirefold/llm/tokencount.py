@@ -8,10 +8,13 @@ encodes to itself, so the last token at a place is the one suffix that follows o
 change of the count, so the sum along a word is its number of tokens; a word's last byte leads back to the start state.
 States are made on first need and kept in one table of whole numbers; past MAX_STATES it starts afresh.
 
-A batch of texts is one stream of bytes, cut into chunks of CHUNK. A chunk's map from entry state to (exit state, counts)
-is constant from its first word end on, whatever the entry state: those bodies run in lockstep, one array operation per
-step over all chunks. The maps are then composed from left to right: the part before the first word end runs from the
-exit state of the chunk before. Chunks without a word end wait for it, so rounds are as many as a word spans chunks.
+A batch of texts is one stream of bytes, cut into chunks of CHUNK. A chunk is a map from entry state to (exit state,
+counts). From its first word end on it is constant: those bodies run in lockstep, one array operation per step over all
+chunks, and give the entry states of the chunks that follow a word end. Within a word that spans chunks, a chunk's map
+is known for some entry states only: first for the one that its last WARM bytes lead to from the start, which is mostly
+right, since what a state depends on reaches back a few tokens. The maps of all chunks are composed by a parallel prefix
+scan; where an exit state is not yet among the next chunk's entries, it is added, all such in one lockstep run, until
+the scan knows every chunk's true entry. So a long word costs a few runs of CHUNK steps, however long it is.
 
 Normalising (composition, white space, lower case) is the library's own; cutting into words is on code points, whose
 classes are asked of the library's pre-tokenizer once each. Special strings in a text count as one token, as its default.
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, MAX_STATES = 256, 1 << 17
+CHUNK, WARM, MAX_STATES = 256, 64, 1 << 17
 #: Tokens that begin alike, up to which states are told apart by what can follow rather than by the token before.
 FEW = 40
 #: Text worked on at once, in characters; a longer text is one piece.
@@ -243,24 +246,65 @@ class Transducer:
         body[np.arange(CHUNK) < head[:, None]] = -1
         out, changes = self.lockstep(np.ascontiguousarray(body.T), np.zeros(lanes, np.int64))
         changes = np.ascontiguousarray(changes.T)
-        done = has_end.copy()
-        done[0] = True
-        todo = np.flatnonzero(head > 0)
-        while len(todo):  # compose: a head starts where the chunk before ends
-            ready = todo[done[todo - 1]]
-            size = int(head[ready].max())
-            part = s[ready, :size].copy()
-            part[np.arange(size) >= head[ready][:, None]] = -1
-            exits, more = self.lockstep(np.ascontiguousarray(part.T), out[ready - 1])
-            more = more.T
-            inside = np.arange(size) < head[ready][:, None]
-            changes[ready, :size] = np.where(inside, more, changes[ready, :size])
-            whole = ~has_end[ready]
-            out[ready[whole]] = exits[whole]
-            done[ready] = True
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
+        def run(ks: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Exit states and changes of the heads of these chunks from these entries."""
+            size = int(head[ks].max())
+            part = s[ks, :size].copy()
+            part[np.arange(size) >= head[ks][:, None]] = -1
+            exits, more = self.lockstep(np.ascontiguousarray(part.T), entry)
+            return exits, more.T
+
+        def put(ks: np.ndarray, more: np.ndarray) -> None:
+            inside = np.arange(more.shape[1]) < head[ks][:, None]
+            changes[ks, : more.shape[1]] = np.where(inside, more, changes[ks, : more.shape[1]])
+
+        known = np.flatnonzero(head > 0)
+        known = known[has_end[known - 1] | (known == 1)]  # their entry is an exit that no entry bears on
+        if len(known):
+            exits, more = run(known, out[known - 1])
+            put(known, more)
+            out[known[~has_end[known]]] = exits[~has_end[known]]
+        rest = np.setdiff1d(np.flatnonzero(head > 0), known, assume_unique=True)
+        if len(rest):
+            self._composed(rest, known, out, s, run, put)
         return changes.reshape(-1)[:n]
 
+    def _composed(self, rest: np.ndarray, known: np.ndarray, out: np.ndarray, s: np.ndarray, run, put) -> None:
+        """The heads of the chunks `rest`, which follow chunks without a word end: their maps, composed by prefix scan."""
+        first = np.isin(rest - 1, known) | (rest == 1)  # the chunk before has a known exit
+        guess, _ = self.lockstep(np.ascontiguousarray((s[rest - 1, -WARM:] & 255).T), np.zeros(len(rest), np.int64))
+        entry = np.where(first, out[rest - 1], guess)[:, None]  # the entries each map is known for, -1 where fewer
+        exits, more = run(rest, entry[:, 0])
+        exits, held = exits[:, None], {(j, 0): more[j] for j in range(len(rest))}
+        while True:
+            m = entry.shape[1]
+            # index of each exit among the entries of the next chunk; m is the unknown, and stays it but where a new word begins
+            step = np.full((len(rest), m + 1), m, np.int64)
+            after = np.flatnonzero(~first)
+            same = (exits[after - 1][:, :, None] == entry[after][:, None, :]) & (entry[after - 1][:, :, None] >= 0)
+            step[after, :m] = np.where(same.any(axis=2), same.argmax(axis=2), m)
+            step[first] = 0
+            path, d = step.copy(), 1
+            while d < len(rest):
+                path[d:] = np.take_along_axis(path[d:], path[:-d], axis=1)
+                d *= 2
+            at = path[:, 0]
+            if (at < m).all():
+                break
+            lack = (step[after, :m] == m) & (entry[after - 1] >= 0)
+            j, i = np.nonzero(lack)
+            todo = np.unique(np.stack([after[j], exits[after[j] - 1, i]], axis=1), axis=0)
+            more_exits, more = run(rest[todo[:, 0]], todo[:, 1])
+            filled = (entry >= 0).sum(axis=1)
+            place = filled[todo[:, 0]] + np.arange(len(todo)) - np.searchsorted(todo[:, 0], todo[:, 0])
+            wider = max(m, int(place.max()) + 1)
+            entry, exits = (np.pad(x, ((0, 0), (0, wider - m)), constant_values=-1) for x in (entry, exits))
+            entry[todo[:, 0], place], exits[todo[:, 0], place] = todo[:, 1], more_exits
+            held |= {(int(j), int(k)): row for j, k, row in zip(todo[:, 0], place, more)}
+        true = [held[j, int(k)] for j, k in enumerate(at)]
+        width = max(map(len, true))
+        put(rest, np.stack([np.pad(row, (0, width - len(row))) for row in true]))
+
 
 class Counter:
     """Counts tokens of texts as the library does with one tokenizer file, without added tokens."""

@@ -333,6 +333,22 @@ def test_token_counts_are_the_library_s():
     assert counter.counted(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("warm", [64, 1])
+def test_words_over_many_chunks(monkeypatch, warm):
+    """Maps of chunks within words are composed to the library's counts, also if the first guess of an entry is mostly wrong."""
+    path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokencount, "WARM", warm)
+    rng, counter, library = random.Random(28), tokencount.Counter(path), Tokenizer.from_file(path)
+    vocabulary = [t.removesuffix("</w>") for t in sorted(library.get_vocab()) if t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha()]
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(3000)), "".join(rng.choice(vocabulary) for _ in range(250)), "a" * 5000 + " b", "x " + "!?" * 900 + " y", "é" * 900]
+    texts += [" ".join("".join(rng.choice("ab") for _ in range(rng.choice([3, 255, 256, 257, 600]))) for _ in range(20))]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [int(counter.counted([t])[0]) for t in texts] == want
+    assert counter.counted(texts).tolist() == want
+
+
 def test_token_states_start_afresh(monkeypatch):
     path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
     monkeypatch.setattr(tokencount, "MAX_STATES", 50)
