@@ -85,5 +85,29 @@ SELECT d.doc_id, coalesce(nl.n, 0) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGI
 FROM d LEFT JOIN gl USING (doc_id) LEFT JOIN nl USING (doc_id)
 """
 
-ORACLES = {
-    "op4_line_dedup": OP4, "op5_quality_rules": OP5, "op10_mix_sources": OP10}
+# All pairs that share a shingle, and the least document that each reaches.
+OP2 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 75 * (x.n + y.n - k)),
+t AS (SELECT doc_id AS v, doc_id AS root FROM n UNION SELECT e.v, t.root FROM t JOIN e ON e.u = t.v AND t.root < e.v),
+r AS (SELECT v, min(root) AS root FROM t GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(r.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.v = d.doc_id
+"""
+
+_ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+OP8 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({sum(map(len, ('<|turn|>', '<|says|>', '<|end|>')))} + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLES = {"op2_minhash_dedup": OP2, "op4_line_dedup": OP4, "op5_quality_rules": OP5, "op8_chat_format": OP8, "op10_mix_sources": OP10}
