@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Patterns of the attribute `custom`; the first is greedy, so a second key is part of the type.
 TYPE_PATTERN = r"^.*structure \{.*type:(.*);.*\}"
 ORDER_PATTERN = r"readingOrder \{index:(\d+);"
+# Fixed value: what stands where an id should, the name of a Python module with the path of its file.
+UUID_PATTERN = r"&lt;module 'uuid' from '[^']*'>"
 
 
 def region_type(custom: Column) -> Column:
@@ -42,15 +44,26 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def natural_key(text: Column, digits: int = 12) -> Column:
-    """A key whose order is the natural one: runs of digits padded with zeros, letters in lower case."""
+def natural_key(text: Column) -> Column:
+    """A key whose order is the natural one: letters in lower case; before each run of digits, without its leading zeros, the length of it, and the length of that length."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|[^\d]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, digits, "0")).otherwise(p)), "")
 
+    def one(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(\d)", "$1")
+        n = F.length(digits).cast("string")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.length(n).cast("string"), n, digits)).otherwise(p)
 
-def repaired_uuid(text: Column, new: Column) -> Column:
-    """Text with the placeholder of a failed id in place of it put right."""
-    return F.regexp_replace(text, r"<built-in function uuid4>|\bNone\b(?=-uuid)", new)
+    return F.array_join(F.transform(parts, one), "")
+
+
+def repaired_uuid(text: Column, new: Column | None = None) -> Column:
+    """Text in which each escaped name of the uuid module, whatever its path, is a fresh id: `new` and the number of the place, or random.
+
+    The pieces between the placeholders are kept and joined by the ids.
+    """
+    pieces = F.split(text, UUID_PATTERN)
+    own = (lambda i: F.concat(new, F.lit("_"), i.cast("string"))) if new is not None else (lambda i: F.uuid())
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(own(i), p))), "")
 
 
 def xml_path(image: Column) -> Column:

@@ -11,7 +11,7 @@ from quirefold.functions import geometry as G
 from quirefold.functions import pagetext as T
 from quirefold.operators import datasets as D
 from quirefold.operators import evaluate as E
-from quirefold.operators import model, raster, taxonomy, vectorize
+from quirefold.operators import masks, model, raster, taxonomy, vectorize
 from quirefold.sources import carriers as S
 from quirefold.sources import pagexml
 from quirefold.streaming import ledger
@@ -116,9 +116,9 @@ def p08(spark, sf_dir):
     return model.class_regions(r, _dim(spark)).select("page_id", "seq", "class_id", G.point_text(F.col("pts")).alias("points"))
 
 
-@query("p09_baseline_iter", f"WITH {_L}, g AS (SELECT user_id, (i - 1) // 4 AS line, list(x || ',' || y ORDER BY i) AS ps FROM line_ WHERE i % 7 <> 0 GROUP BY ALL) SELECT user_id, CAST(line AS BIGINT) AS line, CAST(greatest(len(ps), 2) AS INT) AS n_points, CASE WHEN len(ps) = 1 THEN ps[1] || ' ' || ps[1] ELSE array_to_string(ps, ' ') END AS points FROM g")
+@query("p09_baseline_iter", f"WITH {_L}, g AS (SELECT user_id, (i - 1) // 4 AS line, list(x || ',' || y ORDER BY i) AS ps FROM line_ GROUP BY ALL) SELECT user_id, CAST(line AS BIGINT) AS line, CAST(greatest(len(ps), 2) AS INT) AS n_points, CASE WHEN len(ps) = 1 THEN ps[1] || ' ' || ps[1] ELSE array_to_string(ps, ' ') END AS points FROM g")
 def p09(spark, sf_dir):
-    line = S.polyline(spark, sf_dir).filter("i % 7 <> 0").withColumn("line", F.floor((F.col("i") - 1) / 4).cast("long"))
+    line = S.polyline(spark, sf_dir).withColumn("line", F.floor((F.col("i") - 1) / 4).cast("long"))
     of = line.groupBy("user_id", "line").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("ps"))
     pts = of.select("user_id", "line", G.point_text(F.transform("ps", lambda p: F.struct(p["x"], p["y"]))).alias("points"))
     return model.baselines(pts).select("user_id", "line", F.size("pts").alias("n_points"), G.point_text(F.col("pts")).alias("points"))
@@ -172,10 +172,13 @@ def p19(spark, sf_dir):
     return s.join(o, "stem").filter("page_id < other_id").select("page_id", "other_id", "stem")
 
 
-@query("p23_uuid_repair", "SELECT event_id, regexp_replace('region_<built-in function uuid4>_' || event_id, '<built-in function uuid4>', 'u' || event_id, 'g') AS text FROM events")
+@query("p23_uuid_repair", "SELECT event_id, 'region_u' || event_id || '_1_a_' || CASE WHEN event_id % 3 = 0 THEN 'u' || event_id || '_2' ELSE '&lt;module ''os'' from ''x''>' END AS text FROM events")
 def p23(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("region_<built-in function uuid4>_"), "event_id").alias("t"))
-    return e.select("event_id", T.repaired_uuid(F.col("t"), F.concat(F.lit("u"), "event_id")).alias("text"))
+    """Ids that were written as the name of a module, whatever its path, once or twice a text; other names stay."""
+    path = F.concat(F.lit("&lt;module 'uuid' from '/opt/env"), (F.col("event_id") % 5).cast("string"), F.lit("/lib/uuid.py'>"))
+    other = F.when(F.col("event_id") % 3 == 0, path).otherwise("&lt;module 'os' from 'x'>")
+    e = S.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("region_"), path, F.lit("_a_"), other).alias("t"))
+    return e.select("event_id", T.repaired_uuid(F.col("t"), F.concat(F.lit("u"), F.col("event_id").cast("string"))).alias("text"))
 
 
 @query("s12_pagexml_roundtrip", f"WITH {_R}, {_P} SELECT p.page_id, p.w AS page_w, p.h AS page_h, r.seq, r.rtype, CAST(r.x AS BIGINT) AS x0, CAST(r.y AS BIGINT) AS y0, CAST(r.x + r.w AS BIGINT) AS x1, CAST(r.y + r.h AS BIGINT) AS y1 FROM page_ p JOIN region_ r USING (page_id)")
@@ -183,7 +186,7 @@ def s12(spark, sf_dir):
     """Pages are written as XML text, read again, and boxed."""
     r = S.region(spark, sf_dir).select("page_id", "seq", "rtype", G.rectangle(F.col("x").cast("int"), F.col("y").cast("int"), F.col("w"), F.col("h")).alias("pts"))
     text = pagexml.written(S.page(spark, sf_dir), r)
-    got = pagexml.regions(text, "xml")
+    got = pagexml.regions_of(pagexml.elements(text))
     b = G.box(F.col("pts"))
     return got.select("page_id", F.col("page_w").cast("long").alias("page_w"), F.col("page_h").cast("long").alias("page_h"), F.col("reading_order").cast("long").alias("seq"), "rtype", b.alias("b")).select("page_id", "page_w", "page_h", "seq", "rtype", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -194,7 +197,7 @@ def s03(spark, sf_dir):
     return p.filter(T.suffix(F.regexp_replace("url", r"[?#].*$", "")).isin(".html", ".com", ".org")).select("page_id", "url")
 
 
-@query("s04_natsort", "SELECT url, page_id, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(url), '(\\d+|[^\\d]+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 12, '0') ELSE p END), ''), page_id) AS place FROM pages")
+@query("s04_natsort", "SELECT url, page_id, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(url), '(\\d+|[^\\d]+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN '0' || length(CAST(length(regexp_replace(p, '^0+(\\d)', '\\1')) AS VARCHAR)) || length(regexp_replace(p, '^0+(\\d)', '\\1')) || regexp_replace(p, '^0+(\\d)', '\\1') ELSE p END), ''), page_id) AS place FROM pages")
 def s04(spark, sf_dir):
     return D.placed(S.table(spark, sf_dir, "pages").select("url", "page_id", T.natural_key(F.col("url")).alias("k")), "k", "page_id").select("url", "page_id", "place")
 
@@ -426,7 +429,15 @@ def e05(spark, sf_dir):
     return k.select("cls", "tp", "pos_gt", "pos_pred", F.round("acc", 6).alias("acc"), F.round("iou", 6).alias("iou"))
 
 
-QUERIES["e05_iou"], ORACLES["e05_iou"] = e05, ORACLES["e01_class_iou"]
+_LABEL = "pair_ AS (SELECT CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INT) AS pred, label AS gt FROM embeddings)"
+
+
+@query("e05_iou", f"WITH {_LABEL} SELECT CAST(c AS INT) AS cls, round(CASE WHEN count(*) FILTER (gt = c) > 0 THEN 100.0::DOUBLE * count(*) FILTER (gt = c AND pred = c) / count(*) FILTER (gt = c OR pred = c) END, 6) AS iou FROM pair_, (SELECT unnest(range(10)) AS c) GROUP BY c")
+def e05_iou(spark, sf_dir):
+    """The class of each vector's greatest of ten numbers against its label."""
+    first = F.slice("embedding", 1, 10)
+    of = S.table(spark, sf_dir, "embeddings").select((F.array_position(first, F.array_max(first)) - 1).cast("int").alias("pred"), F.col("label").alias("gt"))
+    return E.class_scores(E.support(E.confusion(of), 10)).select("cls", F.round("iou", 6).alias("iou"))
 
 
 @query("e06_metrics", f"WITH {_SCORES} SELECT round(avg(iou), 6) AS miou, round(sum(iou * pos_gt) / sum(pos_gt), 6) AS fwiou, round(avg(acc), 6) AS macc, round(100.0::DOUBLE * sum(tp) / sum(pos_gt), 6) AS pacc FROM k")
@@ -435,45 +446,11 @@ def e06(spark, sf_dir):
     return t.select(*[F.round(c, 6).alias(c) for c in ("miou", "fwiou", "macc", "pacc")])
 
 
-@query("e03_merged_partials", f"WITH {_PAIR} SELECT * FROM m")
+@query("e03_merged_partials", "SELECT toxic AS pred, quality AS gt, count(*) AS n FROM labels GROUP BY ALL")
 def e03(spark, sf_dir):
     """Matrices of parts, then their sum."""
-    parts = E.confusion(_pairs(spark, sf_dir).withColumn("part", F.spark_partition_id()), "part")
-    return E.confusion(parts.select("pred", "gt", "n"))
-
-
-_GRID = "g AS (SELECT CAST(a.range AS INT) AS y, CAST(b.range AS INT) AS x FROM range(40) a, range(60) b), r0 AS (SELECT l_partkey % 50 AS x, (l_suppkey * 3) % 35 AS y, CAST(l_quantity AS INT) % 12 + 3 AS w, l_linenumber + 3 AS h FROM lineitem WHERE l_orderkey < 40), px AS (SELECT y, x, CAST(CASE WHEN EXISTS (SELECT 1 FROM r0 r WHERE g.x >= r.x AND g.x < r.x + r.w AND g.y >= r.y AND g.y < r.y + r.h) THEN 1 ELSE 0 END AS INT) AS v FROM g)"
-
-
-def _grid(spark, sf_dir):
-    """A 40 x 60 mask: 1 where one of the rectangles of the first orders covers a cell."""
-    line = S.table(spark, sf_dir, "lineitem").filter("l_orderkey < 40")
-    r = line.select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") * 3 % 35).alias("y"), (F.col("l_quantity").cast("int") % 12 + 3).alias("w"), (F.col("l_linenumber") + 3).alias("h"))
-    return raster.grid(spark, raster.filled_rectangles(r), 40, 60)
-
-
-@query("e07_boundary", f"WITH {_GRID}, e AS (SELECT p.y, p.x, p.v, min(q.v) AS m, count(*) AS n FROM px p JOIN px q ON q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY ALL) SELECT y, x, CAST(v - CASE WHEN n < 25 THEN least(m, 0) ELSE m END AS INT) AS v FROM e")
-def e07(spark, sf_dir):
-    return E.boundary(_grid(spark, sf_dir), 2, []).select("y", "x", F.col("v").cast("int").alias("v"))
-
-
-@query("v09_top_bottom", f"WITH {_GRID}, top AS (SELECT y, x FROM px WHERE v = 1 AND y % 6 < 3), bot AS (SELECT y, x FROM px WHERE v = 1 AND y % 6 >= 3) SELECT y, x FROM px p WHERE v = 1 AND EXISTS (SELECT 1 FROM top t WHERE abs(t.y - p.y) <= 1 AND abs(t.x - p.x) <= 1) AND EXISTS (SELECT 1 FROM bot t WHERE abs(t.y - p.y) <= 1 AND abs(t.x - p.x) <= 1)")
-def v09(spark, sf_dir):
-    p = _grid(spark, sf_dir).withColumn("class_id", F.when(F.col("v") == 0, 0).when(F.col("y") % 6 < 3, 1).otherwise(2))
-    return vectorize.middle_band(p, []).select("y", "x")
-
-
-@query("e09_min_iou", f"WITH {_SCORES} SELECT cls, round(CASE WHEN iou IS NULL THEN NULL WHEN acc IS NULL THEN iou ELSE least(iou, acc) END, 6) AS v FROM k")
-def e09(spark, sf_dir):
-    k = E.class_scores(E.support(E.confusion(_pairs(spark, sf_dir)), 3))
-    return k.select("cls", F.round(E.least_known(F.col("iou"), F.col("acc")), 6).alias("v"))
-
-
-@query("e10_multilabel", "WITH p AS (SELECT unnest([0, 1]) AS plane, quality, toxic FROM labels) SELECT plane, CASE plane WHEN 0 THEN quality ELSE toxic END AS pred, CASE plane WHEN 0 THEN toxic ELSE quality END AS gt, count(*) AS n FROM p GROUP BY ALL")
-def e10(spark, sf_dir):
-    of = S.table(spark, sf_dir, "labels")
-    planes = of.select(F.explode(F.array(F.struct(F.lit(0).alias("plane"), F.col("quality").alias("pred"), F.col("toxic").alias("gt")), F.struct(F.lit(1).alias("plane"), F.col("toxic").alias("pred"), F.col("quality").alias("gt")))).alias("s")).select("s.*")
-    return E.confusion(planes, "plane")
+    of = S.table(spark, sf_dir, "labels").select((F.col("doc_id") % 7).alias("part"), F.col("toxic").alias("pred"), F.col("quality").alias("gt"))
+    return E.confusion(E.confusion(of, "part").select("pred", "gt", "n"))
 
 
 @query("e11_pair_check", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, coalesce(a.n, 0) = 1 AND coalesce(b.n, 0) = 1 AS paired FROM (SELECT doc_id AS k, count(*) AS n FROM documents GROUP BY 1) a FULL JOIN (SELECT doc_id AS k, count(*) AS n FROM labels GROUP BY 1) b ON a.k = b.k")
@@ -542,17 +519,9 @@ def v14(spark, sf_dir):
     return b.join(p, "page_id").select("event_id", at("cx", "w", 0.05).alias("x0"), at("cy", "h", 0.025).alias("y0"))
 
 
-@query("r02_fill", f"WITH {_R} SELECT page_id, seq, CAST(yy AS BIGINT) AS y, CAST(x AS BIGINT) AS x0, CAST(x + w AS BIGINT) AS x1 FROM (SELECT page_id, seq, x, w, unnest(range(y, y + h + 1)) AS yy FROM region_ WHERE page_id < 200)")
-def r02(spark, sf_dir):
-    """Runs of filled polygons by a scanline kernel over Arrow batches."""
-    r = S.region(spark, sf_dir).filter("page_id < 200").select("page_id", "seq", G.rectangle(F.col("x").cast("int"), F.col("y").cast("int"), F.col("w"), F.col("h")).alias("pts"))
-    return raster.filled_polygons(r, "page_id", "seq")
-
-
-@query("r07_disc", f"WITH {_L}, p AS (SELECT user_id, x, y FROM line_ WHERE i = 1) SELECT user_id, y + dy AS y, x - CAST(floor(sqrt(CAST(25 - dy * dy AS DOUBLE))) AS BIGINT) AS x0, x + CAST(floor(sqrt(CAST(25 - dy * dy AS DOUBLE))) AS BIGINT) AS x1 FROM (SELECT *, unnest(range(-5, 6)) AS dy FROM p)")
+@query("r07_disc", f"WITH {_L}, p AS (SELECT user_id, i, x, y FROM line_) SELECT user_id, i, y + dy AS y, x - CAST(floor(sqrt(CAST(25 - dy * dy AS DOUBLE))) AS BIGINT) AS x0, x + CAST(floor(sqrt(CAST(25 - dy * dy AS DOUBLE))) AS BIGINT) AS x1 FROM (SELECT *, unnest(range(-5, 6)) AS dy FROM p)")
 def r07(spark, sf_dir):
-    p = S.polyline(spark, sf_dir).filter("i = 1")
-    return raster.discs(p, ["user_id"], 5)
+    return raster.discs(S.polyline(spark, sf_dir), ["user_id", "i"], 5)
 
 
 @query("r12_panoptic_ids", f"WITH {_R} SELECT page_id, seq, row_number() OVER (PARTITION BY page_id ORDER BY rtype, seq) AS id FROM region_ WHERE rtype IS NOT NULL")
@@ -664,7 +633,7 @@ def q06(spark, sf_dir):
     return ledger.hourly(ledger.durations(S.request(spark, sf_dir)))
 
 
-@query("q06_session")
+@query("q06_session", f"WITH {_Q}, g AS (SELECT user_id, queued_at, sum(CASE WHEN queued_at < prior + INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY queued_at, event_id) AS s FROM (SELECT *, lag(queued_at) OVER (PARTITION BY user_id ORDER BY queued_at, event_id) AS prior FROM request_)) SELECT user_id, count(*) AS n, (epoch_us(max(queued_at)) - epoch_us(min(queued_at))) // 1000000 AS seconds FROM g GROUP BY user_id, s")
 def q06_session(spark, sf_dir):
     """Sessions of a user's requests, apart by more than an hour, as a stream over the files would give them in complete mode."""
     return ledger.sessions(S.request(spark, sf_dir), "1 hour")
@@ -676,26 +645,20 @@ def q10(spark, sf_dir):
     return ledger.response(e, ["identifier", "status"], "event_id")
 
 
-@query("s17_instances_json")
+@query("s17_instances_json", f"WITH {_R}, i AS (SELECT page_id, seq, '{{\"bbox\":[' || x || '.0,' || y || '.0,' || (x + w) || '.0,' || (y + h) || '.0],\"bbox_mode\":0,\"category_id\":' || (CASE rtype WHEN 'marginalia' THEN 2 ELSE 1 END - 1) || ',\"segmentation\":[[' || x || '.0,' || y || '.0,' || x || '.0,' || (y + h) || '.0,' || (x + w) || '.0,' || (y + h) || '.0,' || (x + w) || '.0,' || y || '.0]],\"iscrowd\":false}}' AS t FROM region_ WHERE rtype IS NOT NULL) SELECT page_id, '[' || string_agg(t, ',' ORDER BY seq) || ']' AS instances FROM i GROUP BY page_id")
 def s17(spark, sf_dir):
     """One JSON list of instances per page."""
     return raster.instances_json(S.region(spark, sf_dir).filter("rtype IS NOT NULL"), _dim(spark))
 
 
-@query("v03_contours")
-def v03(spark, sf_dir):
-    """Outer contours of the classes of a mask as polygons."""
-    return vectorize.region_polygons(_grid(spark, sf_dir).select(F.lit(0).cast("long").alias("page_id"), "y", "x", F.col("v").cast("int").alias("class_id")), least_area=10)
-
-
-@query("v06_baselines")
-def v06(spark, sf_dir):
-    """Baselines of the components of a mask."""
-    return vectorize.mask_baselines(_grid(spark, sf_dir).select(F.lit(0).cast("long").alias("page_id"), "y", "x", F.col("v").cast("int").alias("class_id")), step=5, least_width=3)
-
-
 @query("r01_stroke")
 def r01(spark, sf_dir):
-    """Runs of thick lines."""
-    line = S.polyline(spark, sf_dir).filter("i <= 6").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("ps"))
-    return raster.strokes(line.select(F.col("user_id").alias("page_id"), F.lit(1).cast("long").alias("seq"), F.transform("ps", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts")), "page_id", "seq", 5)
+    """Cells under the thick line of each user, whole, an hour and forty minutes a cell."""
+    line = S.polyline(spark, sf_dir).withColumn("x", F.floor(F.col("x") / 100))
+    most = line.agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    ps = line.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))).alias("ps"))
+    shapes = ps.crossJoin(F.broadcast(most)).select(F.col("user_id").alias("page_id"), (F.col("my") + 3).cast("int").alias("h"), (F.col("mx") + 3).cast("int").alias("w"), F.lit("").alias("tag"), F.lit(1).alias("place"), F.lit("stroke").alias("kind"), F.lit(5.0).alias("size"), F.lit(1).alias("v"), F.transform("ps", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
+    return masks.cells_by_value(masks.painted(shapes)).select(F.col("page_id").alias("user_id"), "n")
+
+
+from quirefold.plans import layouts  # noqa: E402, F401  adds its queries

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import geometry as G
 from quirefold.functions import pagetext as T
 from quirefold.operators import datasets, evaluate, model, taxonomy
-from quirefold.sources import pagexml
+from quirefold.sources import pagexml, paths, rasters
 from quirefold.streaming import ledger
 
 
@@ -96,7 +96,7 @@ def test_pages_are_written_and_read(spark, tmp_path):
     pages = spark.createDataFrame([(1, 100, 200)], "page_id long, w long, h long")
     regions = spark.createDataFrame([(1, 1, "a<b\"&", "1,2 3,4 5,6"), (1, 2, None, "7,8 9,10 11,12")], "page_id long, seq long, rtype string, p string").withColumn("pts", G.points(F.col("p")))
     pagexml.write(pagexml.written(pages, regions), str(tmp_path / "page"))
-    got = pagexml.regions(pagexml.read(spark, str(tmp_path / "page")), "xml").orderBy("reading_order").collect()
+    got = pagexml.regions_of(pagexml.elements(pagexml.read(spark, str(tmp_path / "page")))).orderBy("reading_order").collect()
     assert [(r.page_w, r.page_h, r.rtype, r.reading_order, len(r.pts)) for r in got] == [(100, 200, 'a<b"&', 1, 3), (100, 200, None, 2, 3)]
     found = pagexml.points_anywhere(pagexml.read(spark, str(tmp_path / "page")), "xml", "Coords")
     assert sorted(r.points for r in found.collect()) == ["1,2 3,4 5,6", "7,8 9,10 11,12"]
@@ -105,9 +105,9 @@ def test_pages_are_written_and_read(spark, tmp_path):
 def test_images(spark, tmp_path):
     (tmp_path / "a.ppm").write_bytes(b"P6 2 1 255\n" + bytes(range(6)))
     (tmp_path / "b.pgm").write_bytes(b"broken")
-    got = {r.path.rsplit("/")[-1]: (r.h, r.w, r.c) for r in pagexml.images(spark, str(tmp_path)).collect()}
+    got = {r.path.rsplit("/")[-1]: (r.h, r.w, r.c) for r in rasters.images(spark, str(tmp_path)).collect()}
     assert got == {"a.ppm": (1, 2, 3), "b.pgm": (None, None, None)}
-    assert [r.stem for r in pagexml.listing(spark, str(tmp_path), [".PPM"]).collect()] == ["a"]
+    assert [r.stem for r in paths.listing(spark, str(tmp_path), [".PPM"]).collect()] == ["a"]
 
 
 def test_unknown_config_key_is_an_error(spark):
