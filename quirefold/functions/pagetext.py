@@ -68,7 +68,7 @@ def repaired_uuid(text: Column, new: Column | None = None) -> Column:
 
 def xml_path(image: Column) -> Column:
     """dir/name.ext -> dir/page/name.xml."""
-    return F.regexp_replace(image, r"([^/]*?)(\.[^./]*)?$", "page/$1.xml")
+    return F.regexp_replace(image, r"^(.*/)?([^/]+?)(\.[^./]*)?$", "$1page/$2.xml")
 
 
 def unit_text(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.sources.settled import settled
+
 
 def draw(key: Column, seed: int) -> Column:
     """A hash that orders keys at random, the same each time."""
@@ -47,17 +49,20 @@ def bounds(n: int, parts: dict[str, float]) -> list[tuple[str, int]]:
 def split(rows: DataFrame, key: str, parts: dict[str, float], seed: int = 42) -> DataFrame:
     """(key, part): exact shares by rank of the hash.
 
-    The rank is global without one task for all rows: rows are ranged by the first hex digits of their hash, counts per
-    range (4096 at most) give each range its start, and ranks are taken within ranges.
+    The rank is global without one task for all rows: rows are ranged by the first hex digits of their hash, as many that a
+    range has some 65,536 rows; counts per range give each its start, and ranks are taken within ranges.
     """
-    hashed = rows.select(key, draw(F.col(key), seed).alias("_h")).withColumn("_g", F.substring("_h", 1, 3))
+    n, digits = rows.count(), 0
+    while digits < 8 and n >> (16 + 4 * digits):
+        digits += 1
+    hashed = rows.select(key, draw(F.col(key), seed).alias("_h")).withColumn("_g", F.substring("_h", 1, digits))
     sizes = hashed.groupBy("_g").agg(F.count("*").alias("_n"))
-    start = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_g")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    rank = hashed.join(F.broadcast(start), "_g").withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", key)) + F.col("_start"))
-    total, at, part = sum(parts.values()), F.lit(0).cast("long"), None
-    for k, (name, share) in enumerate(parts.items()):
-        at = at + F.floor(F.col("_all") * (share / total))
-        here = F.lit(True) if k == len(parts) - 1 else F.col("_r") <= at
+    start = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_g")) - F.col("_n"))
+    start = F.broadcast(start) if digits <= 3 else start  # 4,096 rows at most
+    rank = hashed.join(start, "_g").withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", key)) + F.col("_start"))
+    part = None
+    for name, last in bounds(n, parts):
+        here = F.col("_r") <= last
         part = F.when(here, name) if part is None else part.when(here, name)
     return rank.select(key, part.alias("part"))
 
@@ -75,10 +80,11 @@ def to_do(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def placed(rows: DataFrame, *order: str) -> DataFrame:
     """With place, the rank over all rows in this order.
 
-    Rows are ranged by the first column, so that each task sorts a share; the shares' sizes, one number each, give the
-    ranks their starts.
+    Rows are ranged by the order, so that each task sorts a share, and settled with the number of their share and their place
+    in it; the shares' sizes, one number each, give the ranks their starts.
     """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() % (1 << 33))
+    ranged = settled(ranged, "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     start = sizes.select(F.col("_part"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     return ranged.join(F.broadcast(start), "_part").withColumn("place", F.col("_in") + F.col("_start") + 1).drop("_part", "_in", "_start")

@@ -52,19 +52,6 @@ def least_known(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), None).when(b.isNull(), a).otherwise(F.least(a, b))
 
 
-def boundary(pixels: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """(keys, y, x, v) of a dense grid as v less the least v of the (2n + 1)^2 around, zeros outside: a border n wide.
-
-    The square is two runs of a one-dimensional minimum, along rows, then along columns.
-    """
-    lines = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-n, n)
-    columns = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-n, n)
-    # a window cut short by the edge meets the zeros outside
-    least = lambda w, c: F.when(F.count("*").over(w) == 2 * n + 1, F.min(c).over(w)).otherwise(F.least(F.min(c).over(w), F.lit(0)))
-    rows = pixels.withColumn("_m", least(lines, "v"))
-    return rows.withColumn("_e", least(columns, "_m")).select(*keys, "y", "x", (F.col("v") - F.col("_e")).alias("v"))
-
-
 def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of both sides with how often each has them; a pair is one and one."""
     count = lambda d, c: d.groupBy(key).agg(F.count("*").alias(c))

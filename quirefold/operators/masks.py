@@ -361,11 +361,11 @@ def outlined(masks: DataFrame) -> DataFrame:
 
 @output("yolo_detection")
 def yolo_detection(layout: Layout, mode: str, sizes: DataFrame | None, width: int, square: bool) -> DataFrame:
-    """(page_id, id, category_id, cx, cy, w, h) of regions, by the mask's size less one."""
+    """(page_id, id, category_id, cx, cy, box_w, box_h) of regions, by the mask's size less one."""
     of = scaled(layout.typed(), layout, sizes)
     norm = G.normalised(F.col("pts"), F.col("h"), F.col("w"))
     each = _numbered(of.select("page_id", "tag", "place", (F.col("class_id") - 1).alias("category_id"), G.centre_box(G.box(norm)).alias("b")))
-    return each.select("page_id", "id", "category_id", "b.*")
+    return each.select("page_id", "id", "category_id", "b.cx", "b.cy", F.col("b.w").alias("box_w"), F.col("b.h").alias("box_h"))
 
 
 @output("yolo_segmentation")

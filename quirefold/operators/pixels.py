@@ -177,76 +177,3 @@ def clipped_polygon(pts: np.ndarray, x0: float, y0: float, x1: float, y1: float)
                 t = (limit - a[axis]) / (b[axis] - a[axis])
                 out.append(tuple(a[i] + t * (b[i] - a[i]) for i in (0, 1)))
     return np.array(out) if len(out) > 2 else np.zeros((0, 2))
-
-
-# --- augmentation: kernels that draw their parameters ---
-
-Step = Callable[[np.ndarray, np.random.Generator], np.ndarray]
-
-
-def perhaps(p: float, step: Step) -> Step:
-    return lambda a, g: step(a, g) if g.random() < p else a
-
-
-def chain(*steps: Step) -> Step:
-    def run(a: np.ndarray, g: np.random.Generator) -> np.ndarray:
-        for step in steps:
-            a = step(a, g)
-        return a
-
-    return run
-
-
-def random_turn() -> Step:
-    return lambda a, g: np.rot90(a, int(g.integers(0, 4)))
-
-
-def random_flip() -> Step:
-    return lambda a, g: a[:, ::-1]
-
-
-def random_elastic(strength: float, sigma: float, nearest: bool = False, outside: int = 0) -> Step:
-    def run(a: np.ndarray, g: np.random.Generator) -> np.ndarray:
-        dy, dx = (smoothed(g.random(a.shape[:2]) * 2 - 1, bell(sigma)) * strength for _ in range(2))
-        return warped(a, dy, dx, nearest, outside)
-
-    return run
-
-
-def random_affine(shift: float = 0.02, turn: float = 0.05, shear: float = 0.05, scale: float = 0.05, nearest: bool = False, outside: int = 0) -> Step:
-    """Shift by a share of the size either way, turn and shear by radians, scale by exp of the draw."""
-    def run(a: np.ndarray, g: np.random.Generator) -> np.ndarray:
-        h, w = a.shape[:2]
-        u = lambda s: (g.random() * 2 - 1) * s
-        t, k, s = u(turn), np.tan(u(shear)), np.exp(u(scale))
-        m = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]]) @ np.array([[1, k], [0, 1]]) * s
-        middle = np.array([(w - 1) / 2, (h - 1) / 2])
-        move = middle - m @ middle + np.array([u(shift) * w, u(shift) * h])
-        return affine(a, np.hstack([m, move[:, None]]), nearest, outside)
-
-    return run
-
-
-def random_noise(most: float) -> Step:
-    return lambda a, g: blended(a, g.random(a.shape) * 510 - 255, g.random() * most, 1.0)
-
-
-def random_blend(of: Callable[[np.ndarray, float], np.ndarray], spread: float) -> Step:
-    """Brightness, contrast or saturation by 1 give or take the spread."""
-    return lambda a, g: of(a, 1 + (g.random() * 2 - 1) * spread)
-
-
-def random_crop(h: int, w: int) -> Step:
-    def run(a: np.ndarray, g: np.random.Generator) -> np.ndarray:
-        y, x = (int(g.integers(0, max(0, have - want) + 1)) for have, want in ((a.shape[0], h), (a.shape[1], w)))
-        return cropped(a, y, x, h, w)
-
-    return run
-
-
-def training_chain(mask: bool = False) -> Step:
-    """The chain for images or, with the same draws of place, for their masks; colours are for images and drawn last."""
-    outside = IGNORED if mask else 0
-    place = [perhaps(0.5, random_flip()), perhaps(0.3, random_turn()), perhaps(0.5, random_affine(nearest=mask, outside=outside)), perhaps(0.3, random_elastic(4, 4, mask, outside))]
-    colour = [perhaps(0.1, lambda a, g: luminance(a)), perhaps(0.1, lambda a, g: thresholded(a)), perhaps(0.1, lambda a, g: inverted(a)), perhaps(0.2, lambda a, g: blurred(a, 0.5 + g.random())), perhaps(0.2, random_noise(0.1)), perhaps(0.3, random_blend(brightness, 0.3)), perhaps(0.3, random_blend(contrast, 0.3)), perhaps(0.3, random_blend(saturation, 0.3)), perhaps(0.2, lambda a, g: hue(a, (g.random() - 0.5) / 10))]
-    return chain(*place, *([] if mask else colour))

@@ -1,32 +1,15 @@
-"""Shapes to masks. A mask is runs (page, y, x0, x1, id), both ends included; a dense grid is for small ones.
+"""Runs of shapes, and ids and lists of a page's shapes. A run is (y, x0, x1), both ends included.
 
-Axis-aligned boxes and discs are runs by Column expressions; polygons and thick lines by a numpy scanline over Arrow
-batches, one shape at a time, so memory is bound by a shape.
+Discs are runs by Column expressions, polygons by a scanline in numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def filled_rectangles(boxes: DataFrame) -> DataFrame:
-    """(y, x0, x1) of boxes (x, y, w, h), right and lower edge out."""
-    rows = boxes.select("x", "w", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
-    return rows.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x0"), (F.col("x") + F.col("w") - 1).cast("int").alias("x1"))
-
-
-def grid(spark: SparkSession, runs: DataFrame, h: int, w: int) -> DataFrame:
-    """(y, x, v) of every cell of an h x w grid: 1 on a run, else 0."""
-    cells = spark.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("y"), (F.col("id") % w).cast("int").alias("x"))
-    on = runs.select("y", F.explode(F.sequence(F.greatest("x0", F.lit(0)), F.least("x1", F.lit(w - 1)))).alias("x")).distinct().withColumn("v", F.lit(1))
-    return cells.join(on, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0)).alias("v"))
-
-
 def discs(points: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """(keys, y, x0, x1) of the discs around points (x, y)."""
     reach = F.floor(F.sqrt((F.lit(radius * radius) - F.col("dy") * F.col("dy")).cast("double"))).cast("long")
@@ -67,60 +50,6 @@ def polygon_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
     return runs
 
 
-def stroke_runs(x: np.ndarray, y: np.ndarray, width: float) -> list[tuple[int, int, int]]:
-    """(y, x0, x1) of cells whose centre is within width / 2 of the line."""
-    half = width / 2
-    y0, y1 = int(np.floor(y.min() - half)), int(np.ceil(y.max() + half))
-    x0, x1 = int(np.floor(x.min() - half)), int(np.ceil(x.max() + half))
-    xs, runs = np.arange(x0, x1 + 1), []
-    ax, ay, bx, by = (x, y, x, y) if len(x) == 1 else (x[:-1], y[:-1], x[1:], y[1:])
-    size = np.maximum((bx - ax) ** 2 + (by - ay) ** 2, 1e-12)
-    for row in range(y0, y1 + 1):
-        close = np.flatnonzero((np.minimum(ay, by) - half <= row) & (np.maximum(ay, by) + half >= row))
-        if not len(close):
-            continue
-        a, b, c, d, s = ax[close, None], ay[close, None], bx[close, None], by[close, None], size[close, None]
-        t = np.clip(((xs - a) * (c - a) + (row - b) * (d - b)) / s, 0, 1)
-        on = (((xs - a - t * (c - a)) ** 2 + (row - b - t * (d - b)) ** 2) <= half * half).any(axis=0)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
-        runs += [(row, int(xs[i]), int(xs[j - 1])) for i, j in zip(edge[::2], edge[1::2])]
-    return runs
-
-
-def _kernel(shapes: DataFrame, page: str, place: str, make) -> DataFrame:
-    """(page, place, y, x0, x1) by `make` over rows (page, place, pts)."""
-    of = shapes.select(page, place, "pts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, out = [], []
-            for k, pts in enumerate(batch.column(2).to_pylist()):
-                if pts:
-                    got = make(np.array([p["x"] for p in pts], float), np.array([p["y"] for p in pts], float))
-                    keys += [k] * len(got)
-                    out += got
-            if out:
-                at = pa.array(keys)
-                cols = [pa.array(c, pa.int64()) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols], names=[page, place, "y", "x0", "x1"])
-
-    return of.mapInArrow(run, f"{page} long, {place} long, y long, x0 long, x1 long")
-
-
-def filled_polygons(shapes: DataFrame, page: str, place: str) -> DataFrame:
-    return _kernel(shapes, page, place, polygon_runs)
-
-
-def strokes(shapes: DataFrame, page: str, place: str, width: float) -> DataFrame:
-    return _kernel(shapes, page, place, lambda x, y: stroke_runs(x, y, width))
-
-
-def painted(runs: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, y, x, value) where the last painted of overlapping runs wins; a cell per row, so for small masks."""
-    cells = runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), order, value)
-    return cells.groupBy(*keys, "y", "x").agg(F.max_by(value, order).alias(value))
-
-
 def panoptic_ids(shapes: DataFrame, page: str, tag: str, place: str) -> DataFrame:
     """(page, place, id): ids from 1 in paint order, that of tags and then of the document."""
     w = Window.partitionBy(page).orderBy(tag, place)

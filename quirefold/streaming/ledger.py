@@ -85,3 +85,23 @@ def tracked(stream: DataFrame, keep: str = "1 hour") -> DataFrame:
         yield pd.DataFrame({"identifier": [key[0]], "status": [status], "n_changes": [n]})
 
     return stream.groupBy("identifier").applyInPandasWithState(step, "identifier string, status string, n_changes long", "status string, n long", "update", "ProcessingTimeTimeout")
+
+
+def completed(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """Requests (identifier, ...) with status, process_end and error_message of their results (identifier, at, error): "finished", or "error" with its message; of several results the first counts."""
+    first = results.groupBy("identifier").agg(F.min_by(F.struct("at", "error"), "at").alias("_r"))
+    has = F.col("_r").isNotNull()
+    done = requests.join(first, "identifier", "left")
+    return done.withColumn("status", F.when(has & F.col("_r.error").isNotNull(), "error").when(has, "finished").otherwise(F.col("status"))).withColumn("process_end", F.coalesce("_r.at", "process_end")).withColumn("error_message", F.col("_r.error")).drop("_r")
+
+
+def refused(requests: DataFrame) -> DataFrame:
+    """(event_id, status_code, body) of requests that were not accepted: what was wrong, as JSON without nulls."""
+    why = F.when(F.col("status_code") == INVALID, "a field is missing or wrong").when(F.col("status_code") == BUSY, "the queue is full").when(F.col("status_code") == UNREADABLE, "the image cannot be read")
+    return requests.filter(F.col("status_code") != ACCEPTED).select("event_id", "status_code", F.to_json(F.struct(F.col("event_id").alias("identifier"), F.col("status_code").alias("code"), why.alias("error"))).alias("body"))
+
+
+def health(requests: DataFrame, limit: int) -> DataFrame:
+    """(waiting, processing, state) of the ledger now: "healthy", or "full" once so many wait."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return requests.agg(n("queued").alias("waiting"), n("processing").alias("processing")).withColumn("state", F.when(F.col("waiting") >= limit, "full").otherwise("healthy"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quirefold.operators import raster, vectorize
+from quirefold.operators import extract, masks, raster, vectorize
 
 
 def polygons(classes, least=10, boxed=(), size=100):
@@ -104,9 +104,88 @@ def test_polygon_runs_of_triangle():
 def test_stroke_against_distance(seed):
     rng = np.random.default_rng(seed)
     x, y = rng.integers(0, 30, 4).astype(float), rng.integers(0, 30, 4).astype(float)
-    got = {(a, b) for b, lo, hi in raster.stroke_runs(x, y, 5) for a in range(lo, hi + 1)}
-    for a in range(-5, 36):
-        for b in range(-5, 36):
+    x, y = x + 5, y + 5  # nothing is cut off by the edge
+    top, left, covered, _ = masks.stroke(np.stack([x, y], axis=1), 5, 60, 60)
+    got = {(int(a) + left, int(b) + top) for b, a in np.argwhere(covered)}
+    for a in range(0, 41):
+        for b in range(0, 41):
             d = min(np.hypot(a - (x[k] + t * (x[k + 1] - x[k])), b - (y[k] + t * (y[k + 1] - y[k]))) for k in range(3) for t in [np.clip(((a - x[k]) * (x[k + 1] - x[k]) + (b - y[k]) * (y[k + 1] - y[k])) / max((x[k + 1] - x[k]) ** 2 + (y[k + 1] - y[k]) ** 2, 1e-12), 0, 1)])
             if abs(d - 2.5) > 1e-6:
                 assert ((a, b) in got) == (d < 2.5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_and_cells_are_the_same(seed):
+    rng = np.random.default_rng(seed)
+    mask = rng.integers(0, 4, (17, 23)) * (rng.random((17, 23)) < 0.5)
+    runs = masks.runs_of(mask)
+    assert (masks.dense(runs, 17, 23) == mask).all()
+    assert all((mask[y, a : b + 1] == v).all() and (a == 0 or mask[y, a - 1] != v) and (b == 22 or mask[y, b + 1] != v) for y, a, b, v in runs)
+
+
+def test_square_ends_of_a_line():
+    round_one = masks.stroke(np.array([[10, 10], [30, 10]]), 5, 40, 60)[2].sum()
+    y, x, cells, above = masks.stroke(np.array([[10, 10], [30, 10]]), 5, 40, 60, square=True)
+    assert cells.sum() == 5 * 19 and round_one > 5 * 21 - 1
+    assert (above[cells].sum(), (~above)[cells].sum()) == (3 * 19, 2 * 19)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_boxes_hang_together_as_all_pairs_do(seed):
+    rng = np.random.default_rng(seed)
+    boxes = [(k, *(int(v) for v in (rng.integers(0, 60), rng.integers(0, 60), rng.integers(0, 12), rng.integers(0, 12)))) for k in range(60)]
+    boxes += [(100 + k, 5, 5, 10 + k % 3, 10 + k % 2) for k in range(40)]
+    root = {b[0]: b[0] for b in boxes}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, (a, ax, ay, aw, ah) in enumerate(boxes):
+        for b, bx, by, bw, bh in boxes[:i]:
+            if min(aw, ah, bw, bh) > 0 and ax <= bx + bw and bx <= ax + aw and ay <= by + bh and by <= ay + ah:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    assert vectorize.hanging_together(boxes) == {v: find(v) for v in root}
+
+
+def test_piled_boxes_are_compared_once():
+    import time
+
+    began = time.perf_counter()
+    got = vectorize.hanging_together([(k, 3, 4, 50, 60) for k in range(100_000)])
+    assert set(got.values()) == {0} and time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("h, w", [(3, 4), (7, 5), (12, 16)])
+def test_enlarged_probabilities(h, w):
+    """Bilinear weights, cell by cell."""
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(3, 3, 4)) * 3
+    p = np.exp(z) / np.exp(z).sum(axis=0)
+    want = np.zeros((h, w), int)
+    for i in range(h):
+        for j in range(w):
+            y, x = min(max((i + 0.5) * 3 / h - 0.5, 0), 2), min(max((j + 0.5) * 4 / w - 0.5, 0), 3)
+            a, b = int(y), int(x)
+            c, d = min(a + 1, 2), min(b + 1, 3)
+            v = (p[:, a, b] * (1 - (x - b)) + p[:, a, d] * (x - b)) * (1 - (y - a)) + (p[:, c, b] * (1 - (x - b)) + p[:, c, d] * (x - b)) * (y - a)
+            want[i, j] = v.argmax()
+    got, confidence = extract.classes_and_confidence(z, h, w)
+    assert (got == want).all() and confidence == pytest.approx(((p.max(axis=0) - 1 / 3) / (2 / 3)).mean())
+
+
+def test_merged_lines_are_told():
+    cells = np.zeros((9, 40), bool)
+    cells[1:3], cells[6:8], cells[:, :3] = True, True, True
+    (line, merged), = extract.line_baselines(cells, 15, 50)
+    assert merged and len(line) >= 2
+    (line, merged), = extract.line_baselines(cells[:4], 15, 50)
+    assert not merged and line[-1].tolist() == [39, 1.5]
+    assert list(extract.line_baselines(cells[:4, :10], 15, 50)) == []
+
+
+def test_no_baselines_of_other_modes():
+    with pytest.raises(NotImplementedError):
+        list(extract.page_baselines(np.zeros((2, 2), int), "region"))
