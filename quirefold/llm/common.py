@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.sources.settled import settled as settle  # noqa: F401  the name that the operators use
+from quirefold.sources.settled import shared_dir  # noqa: F401
+
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+, without the blank itself.
 WS_OTHER = "\t\n\x0b\x0c\r"
 
@@ -22,45 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is configured a local master gets a temporary one; a cluster has to name its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="quirefold-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-_folders: set[str] = set()
-
-
-def _removed(spark: SparkSession, folder: str) -> None:
-    """Deletes the application's own settled tables when its driver ends in good order."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    if jvm is None or jsc is None:  # the context has been stopped
-        return
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    Cuts the lineage on reliable storage (a lost executor costs a reread, not a recomputation), gives Catalyst true
-    sizes, and lets a column be read alone.
-    """
-    spark = df.sparkSession
-    own = f"{shared_dir(spark)}/quirefold/{spark.sparkContext.applicationId}"
-    if own not in _folders:
-        _folders.add(own)
-        atexit.register(_removed, spark, own)
-    at = f"{own}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def small(df: DataFrame) -> DataFrame:
     """Mark a settled table for broadcast if its counted rows and estimated bytes are under the bounds; else leave the join to a shuffle."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

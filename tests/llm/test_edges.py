@@ -130,6 +130,24 @@ def test_stage(spark, docs, clashing, nothing, stage, tmp_path):
     assert f(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_stages_on_nulls_and_repeats(spark, docs, tmp_path):
+    """Which rows each stage keeps, not just that it runs."""
+    spark.createDataFrame([(1, "never said anywhere by anyone in these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    every = sorted(str(r[0]) for r in ROWS)
+    without_2 = [k for k in every if k != "2"]
+    kept = sorted(str(r.doc_id) for r in rules.rated(docs).collect() if r.kept)
+    copies = {(r._doc_id, r._size): r._copies for r in mixing.plan_mix(docs).collect()}
+    mixed = sorted(str(k) for k, n in [(r[0], copies[r[0], size]) for r, size in ((r, mixing_size(r[1])) for r in ROWS)] for _ in range(n))
+    for (name, f), want in zip(corpus_pipeline.STAGES, (kept, without_2, without_2, every, mixed)):
+        assert sorted(str(r.doc_id) for r in f(spark, docs, str(tmp_path)).collect()) == want, name
+
+
+def mixing_size(text):
+    import re
+
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
 def test_chat_edges(spark):
     rows = [(None, 1, "user", "no id"), (1, None, None, None), (1, 2, "assistant", ""), (1, 2, "assistant", ""), (2, 0, "assistant", "x" * 3_000_000), (3, 0, "assistant", "\\<|end|>\\"), (3, 1, "user", "<|turn|>")]
     convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))

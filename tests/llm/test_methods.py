@@ -381,6 +381,45 @@ def test_labeller_on_pages_it_has_not_seen():
     assert wrong / total < 0.02
 
 
+# Pages written by hand, not by the rule that trains the labeller, and their main texts.
+HAND_PAGES = [
+    ("""<!DOCTYPE html><html><head><title>Old harbour</title><style>p{color:red}</style></head><body>
+<header class="site-header"><a href="/">Coast Weekly</a><nav><ul><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li><li><a href="/about">About us</a></li></ul></nav></header>
+<main><article><h1>The old harbour opens again</h1><p>After eleven years of work the old harbour of the town has opened its gates to visitors &amp; fishing boats.</p>
+<p>The wall had to be rebuilt stone by stone, said the mayor, who first visited the site as a child.</p><p>Boats can now moor <b>free of charge</b> on weekdays until the end of the season.</p></article></main>
+<aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten walks by the sea</a></li><li><a href="/2">Where to eat fish</a></li></ul></aside>
+<div class="cookie-notice">We use cookies to make this site better. <button>Accept</button></div>
+<footer><p>&copy; 2024 Coast Weekly. All rights reserved.</p><a href="/privacy">Privacy policy</a></footer><script>var p = "<p>no</p>";</script></body></html>""",
+     "The old harbour opens again After eleven years of work the old harbour of the town has opened its gates to visitors & fishing boats. The wall had to be rebuilt stone by stone, said the mayor, who first visited the site as a child. Boats can now moor free of charge on weekdays until the end of the season."),
+    ("""<html><body><div id="menu"><a href="a">Home</a> <a href="b">Recipes</a> <a href="c">Contact</a></div><div class="content"><h2>Bread without kneading</h2>
+<p>Mix the flour, the salt and the yeast in a large bowl, then add the water and stir until no dry flour is left.</p><ul><li>Cover the bowl and leave it for twelve hours at room temperature.</li><li>Heat the oven with a heavy pot in it for half an hour.</li></ul>
+<blockquote>Patience does the work that arms would do.</blockquote></div><div class="ad banner">Buy our knives now! 50% off <a href="x">Shop here</a></div>
+<div class="comments"><h4>3 comments</h4><div class="comment"><p>Great recipe, my family loved it!</p></div><div class="comment"><p>Mine did not rise, what went wrong?</p></div></div>
+<form action="/subscribe"><label>Your email</label><input name="m"><button>Subscribe to our newsletter</button></form></body></html>""",
+     "Bread without kneading Mix the flour, the salt and the yeast in a large bowl, then add the water and stir until no dry flour is left. Cover the bowl and leave it for twelve hours at room temperature. Heat the oven with a heavy pot in it for half an hour. Patience does the work that arms would do."),
+    ("""<body><div class="topbar">Sign in | Register | Help</div><div id="main-content"><h1>How tides work</h1><p>Tides are the rise and fall of the sea, caused by the pull of the moon and of the sun on the water.</p>
+<h2>Spring and neap tides</h2><p>When the sun and the moon stand in one line their pulls add up, and the tide is high.</p><p>A week later they stand at right angles, and the difference between high and low water is small.</p></div>
+<div class="related-posts"><p>Related posts</p><a href="1">Why the sea is salt</a><a href="2">Currents</a></div><div class="footer">Terms of use - Imprint - Sitemap</div></body>""",
+     "How tides work Tides are the rise and fall of the sea, caused by the pull of the moon and of the sun on the water. Spring and neap tides When the sun and the moon stand in one line their pulls add up, and the tide is high. A week later they stand at right angles, and the difference between high and low water is small."),
+    ("<p>One single paragraph that stands on a page without anything around it, and is the whole of the text.</p>", "One single paragraph that stands on a page without anything around it, and is the whole of the text."),
+    ("<nav><a href=1>A</a><a href=2>B</a></nav><footer>All rights reserved</footer>", ""),
+]
+
+
+def test_main_text_of_pages_written_by_hand(spark):
+    rows = [(k, str(k), h) for k, (h, _) in enumerate(HAND_PAGES)]
+    got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(len(HAND_PAGES))] == [t for _, t in HAND_PAGES]
+
+
+def test_a_very_long_page_is_read_whole(spark):
+    rng = random.Random(29)
+    said = [prose(rng, 25).capitalize() + "." for _ in range(6000)]
+    page = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><article>" + "".join(f"<p>{t}</p>" for t in said) + "</article><footer><p>All rights reserved</p></footer>"
+    row = htmltext.extracted(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).head()
+    assert row.text == " ".join(said)
+
+
 def test_blocks_of_broken_markup():
     got = htmltext.blocks("<div class='ad'>x</div><p><b>one<br>two<p>th&#114;ee</p><!-- <p>no</p> --><script>if (a<b) '</p>'</script><ul><li>a<li>b</ul>tail < 3")
     assert [(p[-1] if p else "", t) for p, t, _ in got] == [("div.ad", "x"), ("p", "one two"), ("p", "three"), ("li", "a"), ("li", "b"), ("", "tail < 3")]
@@ -530,6 +569,62 @@ def test_grades_are_learned(spark):
     assert mean[0] < mean[1] < mean[2] and all(0 <= r.tail_probability <= 1 for r in held)
 
 
+def test_features_against_plain_counts(monkeypatch):
+    """Distinct hashed words and word beginnings with their weights, counted one after the other; the same in small slices."""
+    rng = random.Random(30)
+    text = prose(rng, 200) + " Ünïcode WORDS, 'signs'! ab abcd abcde"
+
+    def hash_of(word):
+        return bytewords.hashed_words(*bytewords.arrow_bytes(pa.array([word])), 0, 1)[0]
+
+    def number(x):
+        return (bytewords.mix(x) >> np.uint64(64 - quality.BITS)).astype(np.int64).tolist()
+
+    want = {}
+    for w in WORD.findall(text):
+        f, = number(hash_of(w.translate(LOWER)))
+        want[f] = want.get(f, 0) + 1
+    data, at = bytewords.arrow_bytes(pa.array([text]))
+    x, v = quality.features(data, 0, int(at[1]))
+    marks, n = 5, len(want)
+    assert x[marks : marks + n].tolist() == sorted(want)
+    assert np.allclose(v[marks : marks + n], [np.log2(1 + want[f]) * quality.WHOLE for f in x[marks : marks + n].tolist()])
+    whole = {(int(a), round(float(b), 5)) for a, b in zip(x, v)}
+    monkeypatch.setattr(bytewords, "SLICE", 64)
+    assert len(list(bytewords.text_slices(data, 0, len(data)))) > 5
+    assert {(int(a), round(float(b), 5)) for a, b in zip(*quality.features(data, 0, len(data)))} == whole
+
+
+def test_grades_against_the_formula(spark):
+    """Scores of a fitted model by its definition: logistic of the score less each threshold."""
+    rng = random.Random(31)
+    docs = [(k, prose(rng, rng.randint(0, 60)) + (" foul" if k % 3 == 0 else "")) for k in range(120)] + [(200, None), (201, "")]
+    labels = [(k, int(k % 3 != 1), int(k % 3 == 0)) for k in range(100)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.trained(d, lab)
+    got = {r.doc_id: r for r in quality.rated(d, lab).collect()}
+    for k, text in docs:
+        data, at = bytewords.arrow_bytes(pa.array([text], pa.string()))
+        x, v = quality.features(data, 0, int(at[1]))
+        score = sum(float(model.w[f]) * float(w) for f, w in zip(x, v))
+        tails = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        assert got[k].tail_probability == pytest.approx(tails[-1], rel=1e-4) and got[k].expected_grade == pytest.approx(sum(tails), rel=1e-4)
+        assert got[k].kept == (got[k].tail_probability >= quality.KEEP)
+
+
+def test_the_fit_sample_is_bounded(spark, monkeypatch):
+    rng, seen = random.Random(32), []
+    docs = [(k, prose(rng, 40)) for k in range(60)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality.Ordinal, "fit", lambda self, xs, y: seen.append((len(xs), sum(len(x) for x, _ in xs))) or self)
+    quality.trained(d, lab)
+    quality.trained(d, lab, fit_rows=25)
+    quality.trained(d, lab, fit_features=1000)
+    quality.trained(d, lab, fit_features=3)
+    assert seen[0][0] == 60 and seen[1][0] == 25 and len(seen) == 3
+    assert 0 < seen[2][0] < 25 and seen[2][1] <= 1000
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(13)
     xs = [(rng.integers(0, 50, 5), np.ones(5, np.float32)) for _ in range(200)]
