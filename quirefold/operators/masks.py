@@ -114,11 +114,17 @@ def paint(mask: np.ndarray, kind: str, size: float, v: int, pts: np.ndarray, squ
     return met
 
 
+def tasks(of: DataFrame) -> int:
+    """How many tasks share the pages: a page's work is large for its bytes, so that partitions must not be merged by their size."""
+    spark = of.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def painted(shapes: DataFrame, *more: str, square: bool = False) -> DataFrame:
     """(page_id, more, MASK) of shapes; a page whose shapes are all null has an empty mask."""
     keys = ["page_id", *more]
     kinds = ", ".join(f"{k} {shapes.schema[k].dataType.simpleString()}" for k in keys)
-    dealt = shapes.select(*keys, "h", "w", "kind", "size", "v", "pts", "tag", "place").repartition(*keys).sortWithinPartitions(*keys, "tag", "place").drop("tag", "place")
+    dealt = shapes.select(*keys, "h", "w", "kind", "size", "v", "pts", "tag", "place").repartition(tasks(shapes), *keys).sortWithinPartitions(*keys, "tag", "place").drop("tag", "place")
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
