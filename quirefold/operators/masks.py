@@ -94,6 +94,11 @@ def paint(mask: np.ndarray, kind: str, size: float, v: int, pts: np.ndarray, squ
     """Paints one shape; whether it covers cells that were painted before (of lines only)."""
     h, w = mask.shape
     if kind == "fill":
+        (x0, y0), (x1, y1) = pts.min(axis=0), pts.max(axis=0)
+        if len(pts) == 4 and ((pts[:, 0] == x0) | (pts[:, 0] == x1)).all() and ((pts[:, 1] == y0) | (pts[:, 1] == y1)).all() and ((pts != np.roll(pts, 1, axis=0)).sum(axis=1) == 1).all():
+            if x1 >= 0 and y1 >= 0:  # an upright box
+                mask[max(y0, 0) : y1 + 1, max(x0, 0) : x1 + 1] = v
+            return False
         for y, x0, x1 in polygon_runs(pts[:, 0].astype(float), pts[:, 1].astype(float)):
             if 0 <= y < h and x1 >= 0:
                 mask[y, max(x0, 0) : x1 + 1] = v

@@ -189,3 +189,14 @@ def test_merged_lines_are_told():
 def test_no_baselines_of_other_modes():
     with pytest.raises(NotImplementedError):
         list(extract.page_baselines(np.zeros((2, 2), int), "region"))
+
+
+@pytest.mark.parametrize("box", [[(3, 4), (3, 9), (12, 9), (12, 4)], [(-5, -2), (6, -2), (6, 3), (-5, 3)], [(15, 15), (15, 30), (40, 30), (40, 15)], [(-9, -9), (-9, -3), (-2, -3), (-2, -9)]])
+def test_upright_boxes_are_filled_as_polygons_are(box):
+    one, two = np.zeros((20, 25), np.int32), np.zeros((20, 25), np.int32)
+    pts = np.array(box)
+    masks.paint(one, "fill", 0, 1, pts)
+    for y, a, b in raster.polygon_runs(pts[:, 0].astype(float), pts[:, 1].astype(float)):
+        if 0 <= y < 20 and b >= 0:
+            two[y, max(a, 0) : b + 1] = 1
+    assert (one == two).all()
