@@ -482,20 +482,20 @@ def e18(spark, sf_dir):
 
 # --- masks to shapes ---
 
-_TEN = "z AS (SELECT vec_id, embedding[1:10] AS e, label FROM embeddings), q AS (SELECT vec_id, label, list_transform(e, lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(e) AS DOUBLE))) AS p, CAST(list_position(e, list_max(e)) - 1 AS INT) AS cls FROM z), c AS (SELECT vec_id, label, cls, (1.0::DOUBLE / list_sum(p) - 0.1::DOUBLE) / 0.9::DOUBLE AS confidence FROM q)"
+_VECTOR = "z AS (SELECT vec_id, embedding AS e, label FROM embeddings), q AS (SELECT vec_id, label, list_transform(e, lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(e) AS DOUBLE))) AS p, CAST(list_position(e, list_max(e)) - 1 AS INT) AS cls FROM z), c AS (SELECT vec_id, label, cls, (1.0::DOUBLE / list_sum(p) - 0.015625::DOUBLE) / 0.984375::DOUBLE AS confidence FROM q)"
 
 
 def _classes(spark, sf_dir):
     e = S.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", vectorize.class_and_confidence(F.slice("embedding", 1, 10), 10).alias("c")).select("vec_id", "label", "c.cls", "c.confidence")
+    return e.select("vec_id", "label", vectorize.class_and_confidence(F.col("embedding"), 64).alias("c")).select("vec_id", "label", "c.cls", "c.confidence")
 
 
-@query("v01_softmax_argmax", f"WITH {_TEN} SELECT vec_id, cls, round(confidence, 6) AS confidence FROM c")
+@query("v01_softmax_argmax", f"WITH {_VECTOR} SELECT vec_id, cls, round(confidence, 6) AS confidence FROM c")
 def v01(spark, sf_dir):
     return _classes(spark, sf_dir).select("vec_id", "cls", F.round("confidence", 6).alias("confidence"))
 
 
-@query("v02_mean_confidence", f"WITH {_TEN} SELECT label, round(avg(confidence), 6) AS mean FROM c GROUP BY label")
+@query("v02_mean_confidence", f"WITH {_VECTOR} SELECT label, round(avg(confidence), 6) AS mean FROM c GROUP BY label")
 def v02(spark, sf_dir):
     return _classes(spark, sf_dir).groupBy("label").agg(F.round(F.avg("confidence"), 6).alias("mean"))
 
