@@ -11,11 +11,12 @@ contraction. Star pairs are at most two a band and class, whatever the size of a
 With 32 bands of 4, two sets of Jaccard 0.75 share no bucket with probability (1 - 0.75^4)^32 = 5e-6. A link may also
 hide behind a centre that is not like its ends, or whose size differs. So in each part that still holds several
 components the members outside the largest one are held against all others: by their whole sets (32-bit values) up to
-SAMPLE shingles, by samples of about so many beyond. A part is cut into pieces of FULL members; the few outside the
-largest component go to every piece. Where these are more than FULL themselves, the part is first dealt by further bands
-(SPLITS each, at most DEEP times; a link of Jaccard 0.75 is parted from a bucket with probability 0.1 a time, and has
-about ten). Of what is alike a piece gives the links that make a forest of its components, the most alike first; pairs
-of samples within four standard errors of 0.75 are given all. These too are confirmed on full sets.
+SAMPLE shingles, by samples of about so many beyond. A part is cut into pieces of FULL members, each held against the
+others FULL at a time, so that no size of a part is too large. Where the others are more than FULL, the part's members
+are first dealt by the first shingles of their full sets, a quarter of each, in one order of all, the rarest first: two
+sets of Jaccard 0.75 always share one of these, so no link is parted. Of what is alike a piece gives the links that make
+a forest of its components, the most alike first; pairs of samples within four standard errors of 0.75 are given all.
+These too are confirmed on full sets.
 
 Nulls: a null text is empty; a null doc_id is linked with nothing and kept. Rows of one doc_id are one document: their
 sets each may link it, and they fare alike. The least doc_id of a component stays (ties cannot be). Shingles are held
@@ -36,9 +37,8 @@ from quirefold.llm import common as C
 
 BINS, ROWS, K, PERCENT = 128, 4, 5, 75
 BANDS = BINS // ROWS
-#: Values of a set that stand for it in comparisons; members of a piece of a bucket; how many further bands split each bucket with
-#: more members outside its largest component, so many times.
-SAMPLE, FULL, SPLITS, DEEP = 512, 1024, 6, 3
+#: Values of a set that stand for it in comparisons; members of a piece of a bucket.
+SAMPLE, FULL = 512, 1024
 _SHIFT = np.uint64(64 - 7)
 
 
@@ -237,7 +237,8 @@ def _held_sets(crowd: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
 def alike(c: np.ndarray, n: np.ndarray, root: np.ndarray, most: np.ndarray, own: np.ndarray, t: int, samples: list[bytes]) -> list[tuple[int, int]]:
     """Pairs of one piece's members in different components that may be links, by samples.
 
-    Members outside the part's largest component (not `most`) are held against those the piece owns. Pairs that are alike
+    Members outside the part's largest component (not `most`; of these the ones that are the piece's to hold) are held
+    against those the piece owns. Pairs that are alike
     for sure (whole sets, or by four standard errors) come as a forest over the components, the most alike first; those
     within four standard errors come all, unless the forest joins their components.
     """
@@ -307,36 +308,53 @@ def _compared(parts: DataFrame) -> DataFrame:
     return sorted_parts.mapInArrow(run, "a long, b long").distinct()
 
 
-def _hidden(crowd: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _first(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, x) of classes (c): the shingles x that come first in c's full set, the rarest in these classes before others, without those that one class alone has.
+
+    Two sets that share at least PERCENT of their union share one of the first n - ceil(n * PERCENT / 100) + 1 of each.
+    """
+    each = C.settle(of.join(sets.select("c", "s"), "c").select("c", F.explode("s").alias("x")), "shingles")
+    often = each.groupBy("x").agg(F.count("*").alias("f"))
+    in_order = each.join(often, "x").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
+    first = F.slice("o", F.lit(1), F.expr(f"cast(size(o) * {100 - PERCENT} div 100 + 1 as int)"))
+    return in_order.select("c", F.explode(F.filter(first, lambda y: y["f"] > 1)).alias("y")).select("c", "y.x")
+
+
+def _open(members: DataFrame, least: int) -> DataFrame:
+    """Rows (bucket, t, c, n, root) of buckets with several components and at least so many members, with k, the number of these, others, those outside the largest component, and major, that component."""
+    each = members.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    of = each.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("roots"))
+    of = of.filter((F.col("roots") > 1) & (F.col("k") >= least)).select("bucket", "k", (F.col("k") - F.col("m.k")).alias("others"), F.col("m.root").alias("major"))
+    return C.settle(members.join(of, "bucket"), "open")
+
+
+def _dealt(parts: DataFrame) -> DataFrame:
+    """(bucket, t, c, n, root, most, own) of the pieces of buckets: each member is owned once for every FULL of the others, which are held against all."""
+    pieces, sides = F.ceil(F.col("k") / FULL), F.ceil(F.col("others") / FULL)
+    other = F.col("root") != F.col("major")
+    mine, side = F.pmod(F.xxhash64("c"), pieces), F.pmod(F.xxhash64("c", F.lit(1)), sides)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda i, j, own, held: F.struct(i.alias("i"), j.alias("j"), own.alias("own"), (~held).alias("most"))
+    owned = F.transform(upto(sides), lambda j: cell(mine, j, F.lit(True), other & (j == side)))
+    guest = F.transform(F.filter(upto(pieces), lambda i: other & (i != mine)), lambda i: cell(i, side, F.lit(False), F.lit(True)))
+    placed = parts.select("*", F.explode(F.concat(owned, guest)).alias("z"))
+    return placed.select(F.xxhash64("bucket", "z.i", "z.j").alias("bucket"), "t", "c", "n", "root", "z.most", "z.own")
+
+
+def _hidden(crowd: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Candidate pairs (a, b) in the parts that still hold several components; None if there are none.
 
-    Of each such part the members of its largest component are dealt to pieces of FULL; the others go to every piece. Parts
-    with more than FULL others are dealt once more, by SPLITS further bands each.
+    The members of parts with more than FULL outside the largest component meet by their first shingles instead.
     """
-    now, ready = crowd.select("bucket", "t", "c", "n").join(label.select(F.col("v").alias("c"), "root"), "c"), []
-    for depth in range(DEEP + 1):
-        each = now.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-        of = each.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("roots"))
-        # two members are one pair, which the star has tried
-        of = of.filter("roots > 1 AND k > 2" if depth == 0 else "roots > 1").select("bucket", "k", (F.col("k") - F.col("m.k")).alias("others"), F.col("m.root").alias("major"))
-        now = C.settle(now.join(of, "bucket"), "open")
-        wide = now.filter(F.col("others") > FULL)
-        deal = depth < DEEP and wide.limit(1).count() > 0
-        ready.append(now.filter(F.col("others") <= FULL) if deal else now)
-        if not deal:
-            break
-        other = F.explode(F.array(*[F.xxhash64("bucket", F.element_at("bands", (F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(BANDS)) + 1).cast("int"))) for j in range(SPLITS)]))
-        now = wide.join(classes.select("c", "bands"), "c").select(other.alias("bucket"), "t", "c", "n", "root").distinct()
-    parts = ready[0]
-    for more in ready[1:]:
-        parts = parts.union(more)
+    members = crowd.select("bucket", "t", "c", "n").join(label.select(F.col("v").alias("c"), "root"), "c")
+    parts = _open(members, 3)  # two members are one pair, which the star has tried
+    wide = parts.filter(F.col("others") > FULL).select("t", "c", "n", "root").distinct()
+    if wide.limit(1).count():
+        met = wide.join(_first(wide.select("c").distinct(), sets), "c").select(F.xxhash64("x", "t").alias("bucket"), "t", "c", "n", "root")
+        parts = parts.filter(F.col("others") <= FULL).union(_open(met, 2).select(parts.columns))
     if not parts.limit(1).count():
         return None
-    pieces, most = F.ceil(F.col("k") / FULL), F.col("root") == F.col("major")
-    mine = F.pmod(F.xxhash64("c"), pieces)
-    dealt = parts.select("*", most.alias("most"), mine.alias("mine"), F.explode(F.when(most, F.array(mine)).otherwise(F.sequence(F.lit(0).cast("long"), pieces - 1))).alias("piece"))
-    dealt = dealt.select(F.xxhash64("bucket", "piece").alias("bucket"), "t", "c", "n", "root", "most", (F.col("mine") == F.col("piece")).alias("own"))
-    return _compared(dealt.join(sets.select("c", "v"), "c"))
+    return _compared(_dealt(parts).join(sets.select("c", "v"), "c"))
 
 
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +377,7 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if rest.limit(1).count():
         label = joined(label, C.settle(_confirmed(rest, sets), "links"))
     # Behind a centre a link of others may hide, also of members whose size does not allow a link with it.
-    more = _hidden(crowd, classes, label, sets)
+    more = _hidden(crowd, label, sets)
     if more is not None:
         label = joined(label, C.settle(_confirmed(C.settle(more, "pairs"), sets), "links"))
     # Rows of one doc_id are one document, whatever their texts.

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips, and held-out accuracy."""
 
+import inspect
 import random
 import re
 
@@ -112,6 +113,34 @@ def test_links_among_many_neighbours(spark, monkeypatch, full):
     assert got == components(texts) and got[301][1] == 300
 
 
+@pytest.mark.parametrize("full", [1024, 4])
+def test_no_link_of_a_wide_part_is_parted(spark, monkeypatch, full):
+    """40 classes of one bucket that share no other band, all but two of them unlike: the link is found however small the pieces are."""
+    monkeypatch.setattr(neardup, "FULL", full)
+    rng = np.random.default_rng(27)
+    base = rng.integers(0, 1 << 62, 30)
+    sets = [np.concatenate([base, rng.integers(0, 1 << 62, 30)]) for _ in range(38)]
+    twin = rng.integers(0, 1 << 62, 60)
+    sets += [twin, np.concatenate([twin[:52], rng.integers(0, 1 << 62, 8)])]  # 52 of 68
+    t = int(np.floor(np.log(60) / np.log(100 / 75)))
+    crowd = spark.createDataFrame([(7, t, c, 60) for c in range(40)], "bucket long, t int, c long, n long")
+    label = spark.createDataFrame([(c, c) for c in range(40)], "v long, root long")
+    values = [np.sort(bytewords.mix(np.sort(s).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32) for s in sets]
+    held = spark.createDataFrame([(c, np.sort(s).tolist(), bytearray(v.tobytes())) for c, (s, v) in enumerate(zip(sets, values))], "c long, s array<long>, v binary")
+    classes = spark.createDataFrame([(c, list(range(32 * c, 32 * c + 32))) for c in range(40)], "c long, bands array<long>")
+    of = {"crowd": crowd, "classes": classes, "label": label, "sets": held}
+    got = neardup._hidden(*[of[k] for k in inspect.signature(neardup._hidden).parameters])
+    assert got is not None and [tuple(r) for r in got.collect()] == [(38, 39)]
+
+
+def test_wide_parts_against_all_pairs(spark, monkeypatch):
+    """Pieces of a few members, on all sides of which several pieces lie."""
+    monkeypatch.setattr(neardup, "FULL", 8)
+    for texts in (edited_copies(random.Random(28), 150), edited_copies(random.Random(29), 120, 60, 2), family(random.Random(30), 100, 143, 43)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.rated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert got == components(texts)
+
+
 def edited_copies(rng, many, words=30, edits=1):
     """Copies of one text, each with words of its own in some places: near copies, of which many pairs are links and many are not."""
     base = prose(rng, words).split()
