@@ -243,3 +243,10 @@ def test_a_baseline_with_its_ends_is_one_row(spark, mode):
     # a page that is named twice keeps both rows, and one without a name its own
     again = masks.painted(masks.TOGETHER[mode](layout, None, 5), pages=pages.union(pages.filter("page_id = 2")).union(pages.limit(1).withColumn("page_id", F.lit(None).cast("long"))).withColumnsRenamed({"page_h": "h", "page_w": "w"}))
     assert sorted((r.page_id or 0) for r in again.collect()) == [0, 1, 2, 2, 3, 3]
+
+
+def test_box_of_a_line_at_the_upper_edge_stays_on_the_mask(spark):
+    lines = spark.createDataFrame([(1, 1, [(5, 1), (20, 1)])], "page_id long, place int, pts array<struct<x:int,y:int>>")
+    layout = masks.Layout(spark.createDataFrame([(1, 30, 40)], "page_id long, page_h int, page_w int"), lines, lines, lines, lines, None)
+    (row,) = masks.converted(layout, "instances", "baseline").collect()
+    assert row.bbox == [3, 0, 22, 3] and len(row.segmentation) == 1
